@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provq.llm import packing, spans, tokens, topn
+from provq.llm import components, packing, spans, tokens, topn
 from provq.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.groups(table(spark, sf_dir, "graph_links"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = topn.top_n(table(spark, sf_dir, "result_nodes"))
     return got.select(F.col("group_key").alias("probe_id"), F.col("item_key").alias("fileid"))
@@ -28,11 +32,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """
+            WITH RECURSIVE pair AS (
+              SELECT source AS a, target AS b FROM graph_links
+              WHERE source IS NOT NULL AND target IS NOT NULL AND relationshipConfidenceScore >= 0.5 AND NOT isnan(relationshipConfidenceScore)),
+            step AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair)),
+            record AS (SELECT source AS record FROM graph_links WHERE source IS NOT NULL UNION SELECT target FROM graph_links WHERE target IS NOT NULL),
+            reach AS (SELECT record, record AS other FROM record UNION SELECT reach.record, step.b FROM reach JOIN step ON step.a = reach.other)
+            SELECT record, min(other) AS group_id FROM reach GROUP BY record""",
         "p5_found": """
             SELECT probe_id, fileid FROM (
               SELECT probe_id, fileid, row_number() OVER (PARTITION BY probe_id ORDER BY best DESC, fileid) AS rn
