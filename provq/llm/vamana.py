@@ -28,7 +28,7 @@ def _dists(keys: np.ndarray) -> np.ndarray:
 
 
 def _near(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return 1 - np.matmul(x[ids], q[:, :, None])[:, :, 0]
+    return 1 - np.matmul(x.take(ids, axis=0, mode="clip"), q[:, :, None])[:, :, 0]
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +62,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: np.ndarr
         beam[row, at] |= 1
         if hop < 8:
             trail[live, hop] = cur
-        nb = graph[cur]
+        nb = graph.take(cur, axis=0, mode="clip")
         both = np.concatenate([beam, _keys(_near(x, nb, ql), nb)], axis=1)
         both.sort(axis=1)
         same = both[:, :-1] >> 1 == both[:, 1:] >> 1  # the expanded one of equal points comes last and stays
@@ -80,7 +80,7 @@ def robust_prune(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, degree: int,
     The nearest candidate is kept and every other that is nearer to it, by the factor alpha, than to the point itself is dropped, again and again.
     """
     n, c = ids.shape
-    v = x[ids]
+    v = x.take(ids, axis=0, mode="clip")
     between = 1 - np.matmul(v, v.transpose(0, 2, 1))
     drop = between * np.float32(alpha) <= dist[:, None, :]
     alive = np.isfinite(dist)
