@@ -218,7 +218,8 @@ class SpanIndex:
         wanted = self.ws.save(self._all_candidates().groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("at")), "wanted")
         if stored_bytes(wanted) <= BROADCAST_BYTES:
             wanted = F.broadcast(wanted)
-        spans = self.ws.save(texts.join(wanted, "doc").select("doc", "text", "at").mapInArrow(_span_rows(self.span, self.gram), "a bigint, b bigint, doc bigint, start bigint"), "spans")
+        spans = texts.join(wanted, "doc").select("doc", "text", "at").mapInArrow(_span_rows(self.span, self.gram), "a bigint, b bigint, doc bigint, start bigint")
+        spans = spans.repartition("a", "b")  # the one shuffle that both the grouping and the join below read
         common = spans.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("a", "b")
         return spans.join(common, ["a", "b"], "left_semi").select("doc", "start")
 
