@@ -47,6 +47,16 @@ def _values(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _bytes_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The floats that a binary column holds, end to end."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(c, pa.ChunkedArray):  # more than 2 GB stay in chunks
+        return np.concatenate([_bytes_of(x) for x in c.chunks])
+    wide = pa.types.is_large_binary(c.type)
+    offsets = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32) if len(c) else np.empty(0, np.float32)
+
+
 def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
     """Centroids of ``cells`` parts of equal size: the largest part is halved at the median of its main direction, again and again."""
     parts = [np.arange(len(sample))]
@@ -103,7 +113,7 @@ def _search(dim: int, k: int, width: int, least: float, seed: int):
     def run(shard: pa.Table) -> pa.Table:
         t = shard.combine_chunks()
         ids, role = t.column("id").to_numpy(), t.column("role").to_numpy()
-        exact = unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32), dim)
+        exact = unit(_bytes_of(t.column("vec")), dim)
         order = np.lexsort((role == 2, ids))  # the order of rows must not matter
         ids, role, exact = ids[order], role[order], exact[order]
         new = np.r_[True, ids[1:] != ids[:-1]]  # deliveries of one key count once
@@ -121,9 +131,10 @@ def _search(dim: int, k: int, width: int, least: float, seed: int):
             a = asking[s : s + 4096]
             found = vamana.search(x, graph, entries, exact[a].astype(np.float32), width, place[a])[:, : 2 * k + 8]
             ok = (found >= 0) & (found != place[a][:, None])
-            cos = np.einsum("qd,qkd->qk", exact[a], exact[inside[np.maximum(found, 0)]])
+            at = inside.take(found, mode="clip")
+            cos = np.matmul(exact.take(at, axis=0), exact[a][:, :, None])[:, :, 0]
             ok &= cos >= least
-            other = ids[inside[np.maximum(found, 0)]]
+            other = ids[at]
             got_q.append(np.repeat(ids[a], ok.sum(1)))
             got_o.append(other[ok])
             got_s.append(cos[ok])

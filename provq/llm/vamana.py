@@ -80,20 +80,29 @@ def robust_prune(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, degree: int,
     The nearest candidate is kept and every other that is nearer to it, by the factor alpha, than to the point itself is dropped, again and again.
     """
     n, c = ids.shape
+    if c > 64:
+        raise ValueError("64 candidates at most")
     v = x.take(ids, axis=0, mode="clip")
-    between = 1 - np.matmul(v, v.transpose(0, 2, 1))
-    drop = between * np.float32(alpha) <= dist[:, None, :]
-    alive = np.isfinite(dist)
+    near = 1 - np.matmul(v, v.transpose(0, 2, 1))
+    near *= np.float32(alpha)
+    drop = np.zeros((n, c, 64), dtype=bool)  # a bit for each candidate, so that a step costs a few operations on one integer
+    np.less_equal(near, dist[:, None, :], out=drop[:, :, :c])
+    keep = ~np.packbits(drop, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    full = np.zeros((n, 64), dtype=bool)
+    full[:, :c] = np.isfinite(dist)
+    alive = np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
     out = np.full((n, degree), -1, dtype=np.int64)
-    row = np.arange(n)
+    row, one = np.arange(n), np.uint64(1)
     for k in range(degree):
-        at = alive.argmax(1)
-        has = alive[row, at]
-        if not has.any():
-            break
-        out[has, k] = ids[row, at][has]
-        alive &= ~drop[row, at]
-        alive[row, at] = False
+        has = alive != 0
+        if not has.all():
+            row, alive = row[has], alive[has]
+            if not len(row):
+                break
+        low = alive & (~alive + one)
+        at = np.bitwise_count(low - one)
+        out[row, k] = ids[row, at]
+        alive &= keep[row, at] & ~low
     return out
 
 
@@ -113,7 +122,7 @@ def _sorted_candidates(dist: np.ndarray, ids: np.ndarray, own: np.ndarray, most:
 def build(x: np.ndarray, degree: int = 10, slots: int = 16, width: int = 20, alpha: float = 1.3, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(graph, entries): ``slots`` neighbours by point at most, filled up with the point itself, and the points where searches begin."""
     n = len(x)
-    graph = np.repeat(np.arange(n)[:, None], slots, axis=1)
+    graph = np.repeat(np.arange(n, dtype=np.int32)[:, None], slots, axis=1)
     used = np.zeros(n, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(n)
     entries = order[: min(n, 8)]
@@ -130,7 +139,7 @@ def build(x: np.ndarray, degree: int = 10, slots: int = 16, width: int = 20, alp
         found = keys != _FAR
         ids = np.concatenate([np.where(found, _ids(keys), batch[:, None]), trail], axis=1)
         dist = np.concatenate([np.where(found, _dists(keys), np.float32(0)), _near(x, trail, x[batch])], axis=1)
-        c_ids, c_dist = _sorted_candidates(dist, ids, batch, width + 4)
+        c_ids, c_dist = _sorted_candidates(dist, ids, batch, min(64, width + 4))
         kept = robust_prune(x, c_ids, c_dist, degree, alpha)
         has = kept >= 0
         graph[batch, :degree] = np.where(has, kept, batch[:, None])
@@ -155,7 +164,7 @@ def build(x: np.ndarray, degree: int = 10, slots: int = 16, width: int = 20, alp
             late = ~fits & (slot - slots < slots)
             extra[where[dst[late]], (slot - slots)[late]] = src[late]
             ids = np.concatenate([graph[full], extra], axis=1)
-            c_ids, c_dist = _sorted_candidates(_near(x, ids, x[full]), ids, full, 2 * slots)
+            c_ids, c_dist = _sorted_candidates(_near(x, ids, x[full]), ids, full, min(64, 2 * slots))
             kept = robust_prune(x, c_ids, c_dist, degree, alpha)
             has = kept >= 0
             graph[full] = full[:, None]
