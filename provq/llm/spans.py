@@ -5,9 +5,11 @@ Method: a log-structured index of window fingerprints. Of every ``span`` consecu
 two records that share a span share its anchors. Each batch of records adds one immutable run of its anchors, sorted and
 bucketed by hash; it is merge-joined with the runs of earlier batches, whose buckets are not shuffled again. Anchors seen
 in two records are *candidates*. Runs of one level are compacted into one of the next when there are ``fanout`` of them.
-Verification then looks at the candidates' surroundings only: every whole span there gets a 128-bit fingerprint, and those
-found in two records are united to covered positions. No pairs of records are formed, so a passage that stands in a third
-of all records costs as much a copy as any other.
+Verification looks at the candidates' surroundings only and compares 128-bit fingerprints, in two steps. A *block*, from a candidate on,
+holds all spans that begin before the next anchor at the latest; blocks found in two records confirm the inside of long passages by
+one fingerprint an anchor. Then every whole span around the candidates gets a fingerprint, but of a confirmed block only those of one record,
+which stand for all others and are marked as found more than once. The confirmed pieces are united to covered positions. No
+pairs of records are formed, and the inside of a passage that stands in a third of all records is looked at once.
 """
 
 from __future__ import annotations
@@ -119,34 +121,68 @@ def _anchor_rows(span: int, gram: int):
     return run
 
 
-def _span_rows(span: int, gram: int):
-    """Fingerprints of the whole spans around the candidate anchors of each text."""
-
-    def one(doc: int, text: str, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for offset, points in _slices(text, span):
-            n = len(points) - span + 1
-            here = at[(at >= offset) & (at < offset + len(points))] - offset
-            mark = np.zeros(n + 1, np.int32)
-            np.add.at(mark, np.clip(here + gram - span, 0, n), 1)
-            np.add.at(mark, np.clip(here + 1, 0, n), -1)
-            starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            a, b = (window_hashes(points, span, k)[starts].view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts + offset)], ["a", "b", "doc", "start"])
+def _marks(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the places 0 to n - 1, those within any range first to last (inclusive)."""
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, np.clip(first, 0, n), 1)
+    np.add.at(mark, np.clip(last + 1, 0, n), -1)
+    return np.cumsum(mark[:-1]) > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _gathered(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(record, two fingerprints, places, marks) -> batches of a bounded number of rows."""
+
+    def flush() -> pa.RecordBatch:
+        a, b, doc, at, many = (np.concatenate([h[i] for h in held]) for i in range(5))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(at), pa.array(many)], ["a", "b", "doc", "at", "many"])
+
+    held, size = [], 0
+    for doc, a, b, at, many in rows:
+        held.append((a, b, np.full(len(at), doc, np.int64), at, many))
+        size += len(at)
+        if size > 100_000:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _fingerprints(points: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(window_hashes(points, length, k)[at] for k in (0, 1))
+
+
+def _block_rows(span: int, gram: int):
+    """Fingerprints of the blocks that begin at the candidate anchors of each text."""
+    block = 2 * span - gram
+
+    def each(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            held, rows = [], 0
             for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for got in one(doc, text, np.asarray(at.values)):
-                    held.append(got)
-                    rows += len(got)
-                    if rows > 100_000:
-                        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                        held, rows = [], 0
-            if rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                for offset, points in _slices(text, block):
+                    here = np.asarray(at.values) - offset
+                    here = here[(here >= 0) & (here <= min(len(points) - block, SLICE - 1))]
+                    if len(here):
+                        yield doc, *_fingerprints(points, block, here), here + offset, np.zeros(len(here), bool)
 
-    return run
+    return lambda batches: _gathered(each(batches))
+
+
+def _span_rows(span: int, gram: int):
+    """Fingerprints of the whole spans around the candidate anchors of each text, but for those of blocks that another record stands for."""
+
+    def each(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for doc, text, *lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                at, here, there = (np.asarray(x.values if x.is_valid else [], dtype=np.int64) for x in lists)
+                for offset, points in _slices(text, span):
+                    n, reach = len(points) - span + 1, span - gram
+                    own = _marks(n, here - offset, here - offset + reach)
+                    todo = _marks(n, at - offset - reach, at - offset) & (own | ~_marks(n, there - offset, there - offset + reach)) | own
+                    starts = np.flatnonzero(todo)
+                    if len(starts):
+                        yield doc, *_fingerprints(points, span, starts), starts + offset, own[starts]
+
+    return lambda batches: _gathered(each(batches))
 
 
 class SpanIndex:
@@ -164,14 +200,15 @@ class SpanIndex:
     def _write(self, rows: DataFrame, level: int) -> str:
         name = f"provq_run_{uuid.uuid4().hex}"
         path = self.ws.path(f"run{level}")
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         self.runs.append((level, name))
         return name
 
     def add(self, batch: DataFrame) -> None:
         spark = self.ws.spark
         history = [spark.table(t) for _, t in self.runs]
-        fresh = spark.table(self._write(batch.mapInArrow(_anchor_rows(self.span, self.gram), "h bigint, doc bigint, pos bigint"), 0))
+        rows = batch.mapInArrow(_anchor_rows(self.span, self.gram), "h bigint, doc bigint, pos bigint")
+        fresh = spark.table(self._write(rows.repartition(self.buckets, "h"), 0))
         within = fresh.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
         seen = [fresh.select("h").join(run.select("h").hint("merge"), "h", "left_semi") for run in history]
         matched = within
@@ -197,7 +234,14 @@ class SpanIndex:
                 rows = self.ws.spark.table(old[0])
                 for t in old[1:]:
                     rows = rows.union(self.ws.spark.table(t))
-                self._write(rows, level + 1)
+                # the union keeps the buckets of its parts, so each task merges one bucket and nothing is shuffled
+                conf, auto = self.ws.spark.conf, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+                before = conf.get(auto)
+                conf.set(auto, "false")
+                try:
+                    self._write(rows, level + 1)
+                finally:
+                    conf.set(auto, before)
                 self.runs = [(k, t) for k, t in self.runs if t not in old]
                 for t in old:
                     self._drop(t)
@@ -213,15 +257,28 @@ class SpanIndex:
             self._drop(t)
         self.runs = []
 
+    def _common(self, prints: DataFrame) -> DataFrame:
+        """(doc, at, low) of the fingerprints that two records have, low the smallest of them."""
+        twice = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("many").alias("many")).filter("low < high or many").select("a", "b", "low")
+        return prints.join(twice, ["a", "b"]).select("doc", "at", "low")
+
+    def _listed(self, places: DataFrame, name: str) -> DataFrame:
+        """The places of each record as a sorted list, which is no longer than its text."""
+        return places.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias(name))
+
+    def _with_texts(self, texts: DataFrame, lists: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(lists) if stored_bytes(lists) <= BROADCAST_BYTES else lists, "doc")
+
     def verified(self, texts: DataFrame) -> DataFrame:
-        """(doc, start): the starts of all spans that stand in more than one record."""
-        wanted = self.ws.save(self._all_candidates().groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("at")), "wanted")
-        if stored_bytes(wanted) <= BROADCAST_BYTES:
-            wanted = F.broadcast(wanted)
-        spans = texts.join(wanted, "doc").select("doc", "text", "at").mapInArrow(_span_rows(self.span, self.gram), "a bigint, b bigint, doc bigint, start bigint")
-        spans = spans.repartition("a", "b")  # the one shuffle that both the grouping and the join below read
-        common = spans.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("a", "b")
-        return spans.join(common, ["a", "b"], "left_semi").select("doc", "start")
+        """(doc, first, last): pieces of the texts, last exclusive, that stand in more than one record, whole spans all of them."""
+        span, gram, kind = self.span, self.gram, "a bigint, b bigint, doc bigint, at bigint, many boolean"
+        wanted = self.ws.save(self._listed(self._all_candidates().withColumnRenamed("pos", "at"), "places"), "wanted")
+        blocks = self.ws.save(self._with_texts(texts, wanted).select("doc", "text", "places").mapInArrow(_block_rows(span, gram), kind), "blocks")
+        inside = self.ws.save(self._common(blocks), "inside")
+        here, there = (self._listed(inside.filter(c), n) for c, n in (("doc = low", "here"), ("doc <> low", "there")))
+        wanted = self.ws.save(wanted.join(here, "doc", "left").join(there, "doc", "left"), "wanted")
+        ends = self._common(self._with_texts(texts, wanted).select("doc", "text", "places", "here", "there").mapInArrow(_span_rows(span, gram), kind))
+        return inside.select("doc", F.col("at").alias("first"), (F.col("at") + 2 * span - gram).alias("last")).unionByName(ends.select("doc", F.col("at").alias("first"), (F.col("at") + span).alias("last")))
 
 
 def shared_spans(texts: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = 150, batches: int = 3) -> DataFrame:
@@ -247,7 +304,8 @@ def shared_spans(texts: DataFrame, *, key: str = "doc_id", text: str = "text", s
     part = F.pmod(F.xxhash64("doc"), F.lit(batches))
     for k in range(batches):
         index.add(rows.filter(part == k))
-    starts = ws.save(index.verified(rows), "starts")
+    pieces = index.verified(rows)
     index.close()
-    nxt = F.lead("start").over(Window.partitionBy("doc").orderBy("start"))
-    return starts.withColumn("gap", nxt - F.col("start")).groupBy("doc").agg(F.sum(F.least(F.coalesce("gap", F.lit(span)), F.lit(span))).cast("bigint").alias("shared_chars"))
+    before = F.max("last").over(Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce(before, F.lit(0))))
+    return pieces.withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").cast("bigint").alias("shared_chars"))
