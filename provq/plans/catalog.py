@@ -2,34 +2,460 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provq.operators import hierarchy
-from provq.runtime import table
+from provq.functions import names, vectors
+from provq.operators import evaluate, graph, hierarchy, matching, results, scoring, search
+from provq.plans import inputs as I
+from provq.runtime import is_finite, table
 
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "gt_journal")
-    links = links.filter(F.coalesce(F.lower(F.trim("op")), F.lit("")) != "donor")
-    placed = hierarchy.hierarchy(table(spark, sf_dir, "gt_journal_nodes"), links)
-    return placed.select(F.col("tree").alias("journal_id"), F.col("node").cast("int").alias("node"), "path")
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": """
-            WITH RECURSIVE n AS (SELECT DISTINCT journal_id, idx FROM gt_journal_nodes),
-            up AS (SELECT l.journal_id, l.target AS node, min(l.source) AS parent FROM gt_journal l
-                   JOIN n a ON a.journal_id = l.journal_id AND a.idx = l.source JOIN n b ON b.journal_id = l.journal_id AND b.idx = l.target
-                   WHERE coalesce(lower(trim(l.op)), '') <> 'donor' GROUP BY l.journal_id, l.target),
-            walk AS (
-              SELECT n.journal_id, n.idx AS node, CAST(n.idx AS VARCHAR) AS path FROM n LEFT JOIN up ON up.journal_id = n.journal_id AND up.node = n.idx WHERE up.parent IS NULL
-              UNION ALL
-              SELECT up.journal_id, up.node, walk.path || '/' || CAST(up.node AS VARCHAR) FROM up JOIN walk ON walk.journal_id = up.journal_id AND walk.node = up.parent)
-            SELECT n.journal_id, n.idx AS node, coalesce(walk.path, 'cycle') AS path FROM n LEFT JOIN walk ON walk.journal_id = n.journal_id AND walk.node = n.idx""",
-    }
+    # row numbers are INT in Spark and BIGINT in DuckDB
+    return {k: f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({v})" if k in _RANKED else v for k, v in _SQL.items()}
+
+
+_RANKED = {"knn_exact", "knn_graph_self", "shard_fusion", "metadata_lookup", "ivf_search", "topk_candidates", "tier2_top2", "pair_down", "groundtruth_correct", "groundtruth_erroneous"}
+
+
+def _r(c: str, places: int = 6):
+    return F.round(F.col(c), places).alias(c)
+
+
+
+
+# hierarchy
+
+
+@_query("""
+    WITH RECURSIVE n AS (SELECT DISTINCT journal_id, idx FROM gt_journal_nodes),
+    up AS (SELECT l.journal_id, l.target AS node, min(l.source) AS parent FROM gt_journal l
+           JOIN n a ON a.journal_id = l.journal_id AND a.idx = l.source JOIN n b ON b.journal_id = l.journal_id AND b.idx = l.target
+           WHERE coalesce(lower(trim(l.op)), '') <> 'donor' GROUP BY l.journal_id, l.target),
+    walk AS (
+      SELECT n.journal_id, n.idx AS node, CAST(n.idx AS VARCHAR) AS path FROM n LEFT JOIN up ON up.journal_id = n.journal_id AND up.node = n.idx WHERE up.parent IS NULL
+      UNION ALL
+      SELECT up.journal_id, up.node, walk.path || '/' || CAST(up.node AS VARCHAR) FROM up JOIN walk ON walk.journal_id = up.journal_id AND walk.node = up.parent)
+    SELECT n.journal_id, n.idx AS node, coalesce(walk.path, 'cycle') AS path FROM n LEFT JOIN walk ON walk.journal_id = n.journal_id AND walk.node = n.idx""")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(spark, d).select(F.col("tree").alias("journal_id"), F.col("node").cast("int").alias("node"), "path")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "gt_journal").filter(F.coalesce(F.lower(F.trim("op")), F.lit("")) != "donor")
+    return hierarchy.hierarchy(table(spark, d, "gt_journal_nodes"), links)
+
+
+_TREE = """
+    WITH RECURSIVE n AS (SELECT DISTINCT journal_id, idx FROM gt_journal_nodes),
+    up AS (SELECT l.journal_id, l.target AS node, min(l.source) AS parent FROM gt_journal l
+           JOIN n a ON a.journal_id = l.journal_id AND a.idx = l.source JOIN n b ON b.journal_id = l.journal_id AND b.idx = l.target
+           WHERE coalesce(lower(trim(l.op)), '') <> 'donor' GROUP BY l.journal_id, l.target),
+    walk AS (
+      SELECT n.journal_id, n.idx AS node, n.idx AS root, 0 AS depth FROM n LEFT JOIN up ON up.journal_id = n.journal_id AND up.node = n.idx WHERE up.parent IS NULL
+      UNION ALL SELECT up.journal_id, up.node, walk.root, walk.depth + 1 FROM up JOIN walk ON walk.journal_id = up.journal_id AND walk.node = up.parent),
+    below AS (
+      SELECT walk.journal_id, up.parent AS node, walk.node AS descendant, 1 AS distance FROM walk JOIN up ON up.journal_id = walk.journal_id AND up.node = walk.node
+      UNION ALL SELECT below.journal_id, up.parent, below.descendant, below.distance + 1 FROM below JOIN up ON up.journal_id = below.journal_id AND up.node = below.node)"""
+
+
+@_query(_TREE + """
+    SELECT n.journal_id, n.idx AS node, walk.depth, walk.root, walk.root IS NULL AS is_cycle FROM n LEFT JOIN walk ON walk.journal_id = n.journal_id AND walk.node = n.idx""")
+def p2_roots(spark, d):
+    return _placed(spark, d).select(F.col("tree").alias("journal_id"), F.col("node").cast("int").alias("node"), F.col("depth").cast("int").alias("depth"), F.col("root").cast("int").alias("root"), "is_cycle")
+
+
+@_query(_TREE + " SELECT journal_id, node, descendant, distance FROM below")
+def p2_descendants(spark, d):
+    got = hierarchy.descendants(_placed(spark, d))
+    return got.select(F.col("tree").alias("journal_id"), *(F.col(c).cast("int").alias(c) for c in ("node", "descendant", "distance")))
+
+
+# search
+
+
+@_query(f"WITH {I.sql_hits()} SELECT probe_id, q_feature, feature_id, image_id, rank, dist FROM hit")
+def knn_exact(spark, d):
+    return I.hits(spark, d).select("probe_id", "q_feature", "feature_id", "image_id", "rank", "dist")
+
+
+@_query(f"WITH {I.SQL_FEATURES}, near AS (SELECT q.feature_id AS q_feature, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) + 0.0 AS dist FROM feat q, feat b WHERE q.feature_id % 100 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10")
+def knn_graph_self(spark, d):
+    feat = I.features(spark, d)
+    got = search.exact_knn(feat.filter("feature_id % 100 = 0").select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), 10)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
+@_query(f"WITH {I.sql_hits()}, part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature, feature_id % 2 ORDER BY dist, feature_id) AS r FROM apart) WHERE r <= 10) SELECT q_feature, feature_id, dist, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM part")
+def shard_fusion(spark, d):
+    feat = I.features(spark, d)
+    q = I.queries_of(feat).select(F.col("feature_id").alias("q"), "v")
+    shards = [search.exact_knn(q, feat.filter(F.col("feature_id") % 2 == s).select("feature_id", "v"), 10) for s in (0, 1)]
+    return search.fuse(shards).withColumnRenamed("q", "q_feature")
+
+
+@_query(f"WITH {I.sql_hits()} SELECT h.q_feature, h.rank, h.feature_id, f.x, f.y, i.name, i.width, i.height FROM hit h JOIN feat f ON f.feature_id = h.feature_id JOIN images i ON i.image_id = h.image_id")
+def metadata_lookup(spark, d):
+    h = I.hits(spark, d).join(I.features(spark, d).select("feature_id", "x", "y"), "feature_id")
+    return h.join(table(spark, d, "images").select("image_id", "name", "width", "height"), "image_id").select("q_feature", "rank", "feature_id", "x", "y", "name", "width", "height")
+
+
+_CENTRES = f"{I.SQL_FEATURES}, cen AS (SELECT row_number() OVER (ORDER BY feature_id) - 1 AS cell, v AS cv FROM (SELECT * FROM feat ORDER BY feature_id LIMIT 16)), off AS (SELECT feature_id, image_id, v, cell, row_number() OVER (PARTITION BY feature_id ORDER BY round(2 - 2 * list_dot_product(v, cv), 9), cell) AS r FROM feat, cen)"
+
+
+def _centres(feat: DataFrame) -> list[list[float]]:
+    return [r["v"] for r in feat.orderBy("feature_id").limit(16).collect()]  # the 16 centroids
+
+
+@_query(f"WITH {_CENTRES} SELECT CAST(cell AS INT) AS cell, count(*) AS n, CAST(sum(feature_id) AS BIGINT) AS ids FROM off WHERE r = 1 GROUP BY cell")
+def ivf_assign(spark, d):
+    feat = I.features(spark, d)
+    got = search.assign_cells(feat.select("feature_id", "v"), _centres(feat))
+    return got.groupBy("cell").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))
+
+
+@_query(f"WITH {_CENTRES}, near AS (SELECT q.feature_id AS q_feature, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) + 0.0 AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1 WHERE q.r <= 4 AND q.image_id % 100 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10")
+def ivf_search(spark, d):
+    feat = I.features(spark, d)
+    got = search.ivf_knn(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), _centres(feat), 10, nprobe=4)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
+@_query(f"WITH {_CENTRES}, probe AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1, (VALUES (1)) WHERE q.r <= 4 AND q.image_id % 100 = 0), found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM probe) WHERE rank <= 10), near AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM feat q, feat b WHERE q.image_id % 100 = 0), exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10) SELECT count(DISTINCT e.q) AS n_queries, round(count(f.q) / (10.0 * count(DISTINCT e.q)), 6) AS share FROM exact e LEFT JOIN found f ON f.q = e.q AND f.feature_id = e.feature_id")
+def intersection_at_k(spark, d):
+    feat = I.features(spark, d)
+    q, b = I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v")
+    got = evaluate.intersection_at(search.ivf_knn(q, b, _centres(feat), 10, nprobe=4), search.exact_knn(q, b, 10), 10)
+    return got.select("n_queries", _r("share"))
+
+
+@_query()
+def ann_lsh(spark, d):
+    feat = I.features(spark, d)
+    return search.hashed_pairs(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), 0.5)
+
+
+# scoring
+
+
+@_query(f"WITH {I.sql_hits()} SELECT probe_id, image_id, round(sum(1 / (1 + dist)), 6) AS score, count(*) AS n_votes FROM hit GROUP BY 1, 2")
+def knn_tally(spark, d):
+    return scoring.tally(I.hits(spark, d)).select("probe_id", "image_id", _r("score"), "n_votes")
+
+
+@_query(f"WITH {I.sql_hits()} SELECT probe_id, image_id, round(sum(1.0 / rank), 6) AS score FROM hit GROUP BY 1, 2")
+def knn_reciprocal_rank(spark, d):
+    return scoring.reciprocal_rank(I.hits(spark, d)).select("probe_id", "image_id", _r("score"))
+
+
+@_query(f"WITH {I.sql_hits()} SELECT probe_id, image_id, count(*) AS n_votes FROM hit h WHERE q_feature = (SELECT min(q_feature) FROM hit g WHERE g.probe_id = h.probe_id) GROUP BY 1, 2")
+def first_feature_votes(spark, d):
+    return scoring.first_feature_votes(I.hits(spark, d))
+
+
+@_query(f"WITH {I.sql_hits()} SELECT q_feature, feature_id, round(greatest(0.0, max(dist) FILTER (dist <= 100) OVER (PARTITION BY q_feature) - dist), 9) AS gap FROM hit")
+def adaptive_rerank(spark, d):
+    return scoring.adaptive_rerank(I.hits(spark, d)).select("q_feature", "feature_id", _r("gap", 9))
+
+
+@_query(f"WITH {I.sql_hits()} SELECT q_feature, feature_id, round(1 / (1 + dist), 6) AS inverse FROM hit")
+def inverse_rerank(spark, d):
+    return scoring.inverse_rerank(I.hits(spark, d)).select("q_feature", "feature_id", _r("inverse"))
+
+
+@_query(f"WITH {I.sql_hits()}, lim AS (SELECT round(avg(dist) + stddev_pop(dist), 9) AS t FROM hit WHERE dist <= 10), grp AS (SELECT probe_id, image_id, count(*) AS n, round(avg(dist), 9) AS mean_dist, round(quantile_cont(dist, 0.5), 9) AS median FROM hit WHERE dist <= 10 GROUP BY 1, 2) SELECT probe_id, image_id, n, round(mean_dist, 6) AS mean_dist FROM grp, lim WHERE n > 3 AND (mean_dist < t OR median < t)")
+def distance_gate(spark, d):
+    return scoring.distance_gate(I.hits(spark, d)).select("probe_id", "image_id", "n", _r("mean_dist"))
+
+
+@_query(f"WITH {I.sql_placed()} SELECT probe_id, image_id, round(sum(qx / (1 + sqrt(dist))) / sum(1 / (1 + sqrt(dist))), 5) AS cx, round(sum(qy / (1 + sqrt(dist))) / sum(1 / (1 + sqrt(dist))), 5) AS cy FROM placed GROUP BY 1, 2")
+def weighted_centroid(spark, d):
+    return scoring.weighted_centroid(I.placed_hits(spark, d)).select("probe_id", "image_id", _r("cx", 5), _r("cy", 5))
+
+
+@_query(f"WITH {I.SQL_BINS} SELECT * FROM cnt")
+def hough_bins(spark, d):
+    return scoring.hough_bins(I.placed_hits(spark, d))
+
+
+@_query(f"""WITH {I.SQL_BINS},
+    win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id ORDER BY n DESC, grid, xb DESC, yb DESC) AS r FROM cnt) WHERE r = 1),
+    kept AS (SELECT vote.*, win.n AS members, avg(vx) OVER p AS mx, avg(vy) OVER p AS my FROM vote JOIN win USING (probe_id, image_id, grid, xb, yb) WINDOW p AS (PARTITION BY probe_id, image_id)),
+    s AS (SELECT probe_id, image_id, max(grid) AS grid, max(members) AS n, sum(w * exp(-((vx - mx) * (vx - mx) + (vy - my) * (vy - my)) / (near * near) / 4.5)) AS s FROM kept GROUP BY 1, 2)
+    SELECT probe_id, image_id, grid, n, round(CASE WHEN s = 0 THEN 1e-5 ELSE s END * log2(n), 6) AS score FROM s""")
+def geometric_score(spark, d):
+    return scoring.geometric_score(I.placed_hits(spark, d)).select("probe_id", "image_id", "grid", "n", _r("score"))
+
+
+@_query(f"""WITH {I.SQL_FEATURES},
+    cell AS (SELECT image_id, grid, CAST(floor((x - sx) / 200) AS BIGINT) AS xb, CAST(floor((y - sy) / 200) AS BIGINT) AS yb, count(*) AS n FROM feat, (VALUES (0, 0, 0), (1, 100, 0), (2, 0, 100)) s(grid, sx, sy) GROUP BY ALL)
+    SELECT image_id, grid, xb, yb, n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, grid, xb, yb) AS r FROM cell) WHERE r = 1""")
+def dense_cluster_grid(spark, d):
+    return scoring.densest_cell(I.features(spark, d).select("image_id", "x", "y"), 200.0)
+
+
+# result sets
+
+
+_MAX = "SELECT probe_id, fileid, max(nodeConfidenceScore) AS score FROM result_nodes WHERE probe_id IS NOT NULL AND fileid IS NOT NULL AND isfinite(nodeConfidenceScore) GROUP BY 1, 2"
+
+
+@_query(_MAX)
+def merge_max(spark, d):
+    return results.merge_max(I.results(spark, d), "probe_id", "fileid", "nodeConfidenceScore")
+
+
+@_query("SELECT probe_id, fileid, score FROM (SELECT probe_id, fileid, nodeConfidenceScore AS score, row_number() OVER (PARTITION BY probe_id, fileid ORDER BY run_at DESC NULLS LAST, nodeConfidenceScore DESC) AS r FROM result_nodes WHERE probe_id IS NOT NULL AND fileid IS NOT NULL AND isfinite(nodeConfidenceScore)) WHERE r = 1")
+def merge_last(spark, d):
+    return results.merge_last(I.results(spark, d), "probe_id", "fileid", "nodeConfidenceScore", "run_at")
+
+
+@_query(f"WITH m AS ({_MAX}) SELECT probe_id, fileid, round(CASE WHEN top <> 0 THEN score / top ELSE score END, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY probe_id) AS top FROM m)")
+def merge_normalised(spark, d):
+    return results.normalise(merge_max(spark, d), "probe_id").select("probe_id", "fileid", _r("score"))
+
+
+@_query(f"WITH m AS ({_MAX}), c AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, fileid) AS r FROM m), named AS (SELECT c.* FROM c WHERE r <= 50 AND fileid IN (SELECT regexp_replace(name, '\\.[^.]*$', '') FROM images)) SELECT probe_id, fileid, score, rank FROM (SELECT probe_id, fileid, score, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, fileid) AS rank FROM named) WHERE rank <= 5")
+def topk_candidates(spark, d):
+    known = table(spark, d, "images").select(names.last_stem(F.col("name")).alias("fileid")).distinct()
+    return results.named_candidates(merge_max(spark, d), known, "probe_id", "fileid", 5).select("probe_id", "fileid", "score", "rank")
+
+
+@_query(f"WITH {I.sql_hits()}, t AS (SELECT q_feature, image_id, round(sum(1 / (1 + dist)), 6) AS score FROM hit GROUP BY 1, 2) SELECT q_feature, image_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY score DESC, image_id) AS rank FROM t) WHERE rank <= 2")
+def tier2_top2(spark, d):
+    votes = I.hits(spark, d).groupBy("q_feature", "image_id").agg(F.round(F.sum(1 / (1 + F.col("dist"))), 6).alias("score"))
+    return results.first(votes, "q_feature", "image_id", 2)
+
+
+@_query(f"WITH m AS ({_MAX}) SELECT probe_id, fileid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, fileid) AS rank FROM m) WHERE rank <= 25")
+def pair_down(spark, d):
+    return results.first(merge_max(spark, d), "probe_id", "fileid", 25)
+
+
+_DOCS = "SELECT probe_id, id, file, fileid, nodeConfidenceScore FROM (SELECT probe_id, CAST(rank AS VARCHAR) AS id, 'world/' || file AS file, regexp_replace(file, '\\.[^.]*$', '') AS fileid, score AS nodeConfidenceScore FROM (SELECT best.*, res.rank FROM best JOIN res USING (probe_id, file)) WHERE rank <= 10)"
+
+
+@_query(f"WITH {I.SQL_FILES} {_DOCS}")
+def json_nodes(spark, d):
+    """Result documents of the first ten files of each probe, written as JSON and read back."""
+    r = I.results(spark, d).filter(F.col("file").isNotNull() & is_finite(F.col("nodeConfidenceScore")))
+    best = r.groupBy("probe_id", F.regexp_replace("file", "^world/", "").alias("name")).agg(F.max("nodeConfidenceScore").alias("score"))
+    top = results.first(best, "probe_id", "name", 10).withColumns({"file": F.concat(F.lit("world/"), "name"), "fileid": names.last_stem(F.col("name"))})
+    return results.nodes_of(results.documents(top, "probe_id", "file", "fileid"), "probe_id")
+
+
+@_query("SELECT ProvenanceProbeFileID AS probe, count(*) AS n, max(ConfidenceScore) AS best FROM result_manifest WHERE lower(trim(ProvenanceProbeStatus)) = 'processed' AND ProvenanceProbeFileID IS NOT NULL AND isfinite(ConfidenceScore) GROUP BY 1")
+def manifest_processed(spark, d):
+    m = table(spark, d, "result_manifest").filter((F.lower(F.trim("ProvenanceProbeStatus")) == "processed") & F.col("ProvenanceProbeFileID").isNotNull() & is_finite(F.col("ConfidenceScore")))
+    return m.groupBy(F.col("ProvenanceProbeFileID").alias("probe")).agg(F.count("*").alias("n"), F.max("ConfidenceScore").alias("best"))
+
+
+# matching
+
+
+@_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS second FROM d WINDOW w AS (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id)) SELECT probe_id, image_id, q_feature, feature_id, dist, round(sqrt(dist / second), 9) AS ratio FROM o WHERE r = 1 AND second > 0 AND round(sqrt(dist / second), 9) < 0.8")
+def ratio_test_match(spark, d):
+    return matching.ratio_test(I.pair_distances(spark, d))
+
+
+@_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d), m AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id) AS r, count(*) OVER (PARTITION BY probe_id, image_id) AS n FROM o WHERE a = 1 AND b = 1) SELECT probe_id, image_id, q_feature, feature_id, dist FROM m WHERE r <= ceil(n / 2.0)")
+def mutual_nn(spark, d):
+    return matching.best_half(matching.mutual_nearest(I.pair_distances(spark, d)))
+
+
+@_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, round(sum(dist) OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id ROWS UNBOUNDED PRECEDING), 7) AS run, round(sum(dist) OVER (PARTITION BY probe_id, image_id) * 0.65, 7) AS total FROM d) SELECT probe_id, image_id, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM o WHERE run <= total GROUP BY 1, 2")
+def cumulative_share_mean(spark, d):
+    return matching.cumulative_share_mean(I.pair_distances(spark, d)).select("probe_id", "image_id", "n", _r("mean_dist"))
+
+
+@_query(f"WITH {I.SQL_FEATURES} SELECT a.image_id, a.feature_id AS a, b.feature_id AS b, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 4) AS d2 FROM feat a JOIN feat b ON a.image_id = b.image_id AND a.feature_id < b.feature_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500")
+def spatial_radius_join(spark, d):
+    p = I.features(spark, d).select(F.col("image_id").alias("group_id"), F.col("feature_id").alias("id"), "x", "y")
+    return matching.within_radius(p, 50.0).select(F.col("group_id").alias("image_id"), "a", "b", _r("d2", 4))
+
+
+_TEN = "t AS (SELECT probe_id, image_id, row_number() OVER (PARTITION BY probe_id ORDER BY round(sum(1 / (1 + dist)), 6) DESC, image_id) AS r FROM hit GROUP BY probe_id, image_id)"
+
+
+@_query(f"WITH {I.sql_hits()}, {_TEN} SELECT a.probe_id, a.image_id AS i, b.image_id AS j FROM t a JOIN t b ON a.probe_id = b.probe_id WHERE a.r <= 10 AND b.r <= 5 AND a.image_id <> b.image_id AND (a.r > 5 OR a.image_id < b.image_id)")
+def pair_theta_join(spark, d):
+    votes = scoring.tally(I.hits(spark, d)).withColumn("score", F.round("score", 6))
+    top = results.first(votes, "probe_id", "image_id", 10).select(F.col("probe_id").alias("group_id"), F.col("image_id").alias("item"), (F.col("rank") <= 5).alias("is_target"))
+    return matching.expansion_pairs(top).withColumnRenamed("group_id", "probe_id")
+
+
+# evaluation
+
+
+@_query(f"WITH {I.SQL_FILES} SELECT probe_id, file, rank FROM res SEMI JOIN truth USING (probe_id, file)")
+def groundtruth_correct(spark, d):
+    return evaluate.correct(I.ranked_files(spark, d), I.truth(spark, d))
+
+
+@_query(f"WITH {I.SQL_FILES} SELECT probe_id, file FROM truth ANTI JOIN res USING (probe_id, file)")
+def groundtruth_missing(spark, d):
+    return evaluate.missing(I.ranked_files(spark, d), I.truth(spark, d))
+
+
+@_query(f"WITH {I.SQL_FILES} SELECT probe_id, file, rank FROM res ANTI JOIN truth USING (probe_id, file)")
+def groundtruth_erroneous(spark, d):
+    return evaluate.erroneous(I.ranked_files(spark, d), I.truth(spark, d))
+
+
+@_query(f"WITH {I.SQL_FILES} SELECT r, CAST(count(*) FILTER (rank <= r) AS BIGINT) AS n_correct, count(*) AS n_truth, round(count(*) FILTER (rank <= r) / greatest(count(*), 1), 6) AS recall FROM truth LEFT JOIN res USING (probe_id, file), (VALUES (25), (50), (100), (200), (300), (400)) v(r) GROUP BY r")
+def recall_at_r(spark, d):
+    return evaluate.recall_at(I.ranked_files(spark, d), I.truth(spark, d)).select("r", "n_correct", "n_truth", _r("recall"))
+
+
+# graphs
+
+
+@_query(f"WITH {I.SQL_EDGES} SELECT a, b, weight FROM edge")
+def affinity_edges(spark, d):
+    return I.edges(spark, d)
+
+
+@_query(f"WITH {I.SQL_EDGES} SELECT a AS node, round(sum(weight), 6) AS degree, count(*) AS n_edges FROM way GROUP BY 1")
+def weighted_degree(spark, d):
+    return graph.weighted_degree(I.edges(spark, d)).select("node", _r("degree"), "n_edges")
+
+
+@_query(f"""WITH {I.SQL_EDGES},
+    d1 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM way GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+    w2 AS (SELECT * FROM way WHERE a NOT IN (SELECT node FROM d1) AND b NOT IN (SELECT node FROM d1)),
+    d2 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM w2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+    w3 AS (SELECT * FROM w2 WHERE a NOT IN (SELECT node FROM d2) AND b NOT IN (SELECT node FROM d2)),
+    d3 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM w3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+    SELECT 1 AS round, node, round(degree, 6) AS degree FROM d1 UNION ALL SELECT 2, node, round(degree, 6) FROM d2 UNION ALL SELECT 3, node, round(degree, 6) FROM d3""")
+def top_degree_removal(spark, d):
+    return graph.remove_top_degree(I.edges(spark, d), 3).select("round", "node", _r("degree"))
+
+
+@_query(f"""WITH {I.SQL_EDGES},
+    raw AS (SELECT a AS i, b AS j, weight AS m FROM way UNION ALL SELECT DISTINCT a, a, 1.0 FROM way),
+    m0 AS (SELECT i, j, m / sum(m) OVER (PARTITION BY j) AS m FROM raw),
+    sq AS (SELECT x.i, y.j, sum(x.m * y.m) AS m FROM m0 x JOIN m0 y ON x.j = y.i GROUP BY 1, 2),
+    inf AS (SELECT i, j, m * m / sum(m * m) OVER (PARTITION BY j) AS m FROM sq),
+    kept AS (SELECT *, max(m) OVER (PARTITION BY j) AS high FROM inf)
+    SELECT i, j, round(m, 6) AS m FROM kept WHERE round(m, 9) >= 0.001 OR m = high""")
+def mcl_step(spark, d):
+    return graph.flow_step(graph.flow_start(I.edges(spark, d))).select("i", "j", _r("m"))
+
+
+@_query()
+def mcl_clusters(spark, d):
+    return graph.markov_clusters(I.edges(spark, d), rounds=12)
+
+
+@_query()
+def pic_clusters(spark, d):
+    return graph.spectral_clusters(I.edges(spark, d), 8)
+
+
+@_query(f"""WITH RECURSIVE {I.SQL_EDGES},
+    lev AS (SELECT min(a) AS node, 0 AS level FROM way UNION SELECT way.b, lev.level + 1 FROM lev JOIN way ON way.a = lev.node WHERE lev.level < 4)
+    SELECT node, min(level) AS level FROM lev GROUP BY 1""")
+def bfs_levels(spark, d):
+    e = I.edges(spark, d)
+    return graph.expand_levels(e, e.agg(F.min("a").alias("node")), 4)
+
+
+@_query(f"WITH {I.SQL_JOURNAL}, l AS (SELECT DISTINCT tree, parent, child FROM k), up AS (SELECT tree, child AS node, count(*) AS n FROM l GROUP BY 1, 2), down AS (SELECT tree, parent AS node, count(*) AS n FROM l GROUP BY 1, 2) SELECT n.tree AS journal_id, n.node, coalesce(up.n, 0) AS n_parents, coalesce(down.n, 0) AS n_children, up.n IS NULL AS is_root, down.n IS NULL AS is_leaf FROM n LEFT JOIN up USING (tree, node) LEFT JOIN down USING (tree, node)")
+def roots_leafs(spark, d):
+    n, k = I.journal(spark, d)
+    return graph.journal_ends(n, k.select("tree", "parent", "child")).withColumnRenamed("tree", "journal_id")
+
+
+@_query(f"WITH {I.SQL_JOURNAL} SELECT tree AS journal_id, child AS node, count(*) AS n_links, count(DISTINCT op) AS n_ops, bool_or(coalesce(lower(trim(op)) = 'donor', false)) AS is_donor FROM k GROUP BY 1, 2")
+def donor_nodes(spark, d):
+    _, k = I.journal(spark, d)
+    donor = F.coalesce(F.lower(F.trim("op")) == "donor", F.lit(False))
+    return k.groupBy(F.col("tree").alias("journal_id"), F.col("child").alias("node")).agg(F.count("*").alias("n_links"), F.count_distinct("op").alias("n_ops"), F.max(donor).alias("is_donor"))
+
+
+# values, names, samples
+
+
+@_query("""WITH r AS (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem),
+    s AS (SELECT g, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM r GROUP BY g),
+    c AS (SELECT g, least(floor(round((a - a0) / ((a1 - a0) / 255) + 0.5, 9)), 255) AS x, least(floor(round((b - b0) / ((b1 - b0) / 255) + 0.5, 9)), 255) AS y, count(*) AS n FROM r JOIN s USING (g) GROUP BY ALL),
+    j AS (SELECT *, sum(n) OVER (PARTITION BY g) AS t, sum(n) OVER (PARTITION BY g, x) AS nx, sum(n) OVER (PARTITION BY g, y) AS ny FROM c)
+    SELECT g AS l_returnflag, CAST(sum(n) AS BIGINT) AS n, round(sum(n / t * log2(n * t / (nx * ny))), 6) AS mi FROM j GROUP BY g""")
+def mutual_information(spark, d):
+    got = evaluate.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", 256)
+    return got.select("l_returnflag", "n", _r("mi"))
+
+
+@_query("""WITH a AS (SELECT l_discount AS value, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_tax AS matched, count(*) AS n FROM lineitem GROUP BY 1),
+    x AS (SELECT value, round(sum(n) OVER (ORDER BY value) / sum(n) OVER (), 9) AS s FROM a), y AS (SELECT matched, round(sum(n) OVER (ORDER BY matched) / sum(n) OVER (), 9) AS s FROM b)
+    SELECT value, (SELECT min(matched) FROM y WHERE y.s >= x.s) AS matched FROM x""")
+def ecdf_match(spark, d):
+    return evaluate.distribution_match(table(spark, d, "lineitem"), "l_discount", "l_tax")
+
+
+@_query("SELECT stem, image_id, name FROM (SELECT split_part(name, '.', 1) AS stem, image_id, name, row_number() OVER (PARTITION BY split_part(name, '.', 1) ORDER BY path NULLS LAST, name) AS r FROM images WHERE name IS NOT NULL) WHERE r = 1")
+def dedupe_stem(spark, d):
+    """One image for each stem, the one first listed by path."""
+    i = table(spark, d, "images").filter("name is not null").withColumn("stem", names.first_stem(F.col("name")))
+    nth = F.row_number().over(Window.partitionBy("stem").orderBy(F.col("path").asc_nulls_last(), "name"))
+    return i.withColumn("nth", nth).filter("nth = 1").select("stem", "image_id", "name")
+
+
+@_query("SELECT lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, count(*) AS n, lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('bmp', 'cr2', 'dng', 'gif', 'jp2', 'jpe', 'jpeg', 'jpg', 'nef', 'png', 'ppm', 'raw', 'tif', 'tiff', 'webp') AS is_image FROM images WHERE name IS NOT NULL GROUP BY 1, 3")
+def image_listing(spark, d):
+    i = table(spark, d, "images").filter("name is not null")
+    return i.groupBy(names.extension(F.col("name")).alias("ext"), names.is_image(F.col("name")).alias("is_image")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT doc_id, round(list_sum(list_transform(string_split(md5(text), ''), lambda c: ascii(c) * 0.001)), 6) AS total FROM documents WHERE text IS NOT NULL")
+def phash_text(spark, d):
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", names.hash_floats(F.md5("text")).alias("h"))
+    return t.select("doc_id", F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@_query("SELECT image_id, name FROM images ORDER BY md5(CAST(image_id AS VARCHAR)), image_id LIMIT 100")
+def probe_sample(spark, d):
+    """A sample without replacement of 100 images, the same at every run."""
+    return table(spark, d, "images").orderBy(F.md5(F.col("image_id").cast("string")), "image_id").limit(100).select("image_id", "name")
+
+
+@_query("SELECT shard, image_id FROM (SELECT shard, image_id, row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(image_id AS VARCHAR)), image_id) AS r FROM images) WHERE r = 1")
+def one_per_group(spark, d):
+    best = F.min(F.struct(F.md5(F.col("image_id").cast("string")).alias("h"), "image_id"))["image_id"].alias("image_id")
+    return table(spark, d, "images").groupBy("shard").agg(best)
+
+
+@_query("SELECT source, doc_id, CAST(sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS so_far FROM documents")
+def cumulative_counts(spark, d):
+    run = F.sum(F.coalesce("n_chars", F.lit(0))).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, d, "documents").select("source", "doc_id", run.alias("so_far"))
+
+
+@_query("SELECT preproc AS spec_preproc, CAST(regexp_extract(ivf, 'IVF(\\d+)', 1) AS INT) AS cells, pqflat AS coding, metadata_dim FROM index_meta")
+def index_settings(spark, d):
+    spec = names.index_spec(F.concat_ws(",", "ivf", "pqflat"))
+    return table(spark, d, "index_meta").select(F.col("preproc").alias("spec_preproc"), spec["cells"].alias("cells"), F.col("pqflat").alias("coding"), "metadata_dim")
+
+
+@_query(f"WITH {I.SQL_FEATURES}, s AS (SELECT feature_id, list_sum(list_transform(v, lambda q: abs(q))) AS t, v FROM feat) SELECT feature_id, round(list_sum(list_transform(v, lambda q: sqrt(abs(q) / t))), 6) AS total FROM s")
+def root_descriptor(spark, d):
+    r = vectors.l1_root(F.col("v"))
+    return I.features(spark, d).select("feature_id", F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
