@@ -425,7 +425,7 @@ def image_listing(spark, d):
     return i.groupBy(names.extension(F.col("name")).alias("ext"), names.is_image(F.col("name")).alias("is_image")).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT doc_id, round(list_sum(list_transform(string_split(md5(text), ''), lambda c: ascii(c) * 0.001)), 6) AS total FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, round(list_sum(list_transform(string_split(md5(text), ''), lambda c: ascii(c) * CAST(0.001 AS DOUBLE))), 6) AS total FROM documents WHERE text IS NOT NULL")
 def phash_text(spark, d):
     t = table(spark, d, "documents").filter("text is not null").select("doc_id", names.hash_floats(F.md5("text")).alias("h"))
     return t.select("doc_id", F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

@@ -14,7 +14,7 @@ from provq.operators.results import DOCUMENT
 
 
 def files(spark: SparkSession, roots: list[str], glob: str | None = None) -> DataFrame:
-    """(path, length): files below the roots, without their contents."""
+    """(path, length): files below the roots, without their contents; empty files are not listed."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (r.option("pathGlobFilter", glob) if glob else r).load(roots).select("path", "length")
 
