@@ -1,6 +1,6 @@
 """Matching of item pairs by their features, and joins by place.
 
-Distances are (probe_id, image_id, q_feature, feature_id, dist), as ``search.pair_distances`` gives them.
+Nearest features are (probe_id, image_id, q_feature, feature_id, dist, nth), as ``search.nearest_per_image`` gives them.
 """
 
 from __future__ import annotations
@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 PAIR = ("probe_id", "image_id")
 
 
-def ratio_test(dist: DataFrame, most: float = 0.8) -> DataFrame:
+def ratio_test(nearest: DataFrame, most: float = 0.8) -> DataFrame:
     """(probe_id, image_id, q_feature, feature_id, dist, ratio): nearest features that are clearly nearer than the second nearest of their image.
 
-    Distances are compared as lengths (square roots); a second distance of 0, or none, gives no match.
+    nearest: the two nearest of each query feature and image. Distances are compared as lengths (square roots); a second distance of
+    0, or none, gives no match.
     """
-    order = Window.partitionBy(*PAIR, "q_feature").orderBy("dist", "feature_id")
-    two = dist.withColumns({"nth": F.row_number().over(order), "second": F.lead("dist").over(order)}).filter("nth = 1 and second > 0")
-    ratio = F.round(F.sqrt(F.col("dist") / F.col("second")), 9)
-    return two.withColumn("ratio", ratio).filter(F.col("ratio") < most).select(*PAIR, "q_feature", "feature_id", "dist", "ratio")
+    one = F.max(F.when(F.col("nth") == 1, F.struct("feature_id", "dist")))
+    two = nearest.groupBy(*PAIR, "q_feature").agg(one.alias("a"), F.max(F.when(F.col("nth") == 2, F.col("dist"))).alias("second")).filter("second > 0")
+    ratio = F.round(F.sqrt(F.col("a.dist") / F.col("second")), 9)
+    return two.withColumn("ratio", ratio).filter(F.col("ratio") < most).select(*PAIR, "q_feature", "a.feature_id", "a.dist", "ratio")
 
 
-def mutual_nearest(dist: DataFrame) -> DataFrame:
-    """(probe_id, image_id, q_feature, feature_id, dist): features that are each other's nearest in the pair of images."""
-    a = F.row_number().over(Window.partitionBy(*PAIR, "q_feature").orderBy("dist", "feature_id"))
-    b = F.row_number().over(Window.partitionBy(*PAIR, "feature_id").orderBy("dist", "q_feature"))
-    return dist.withColumns({"a": a, "b": b}).filter("a = 1 and b = 1").drop("a", "b")
+def mutual_nearest(forth: DataFrame, back: DataFrame) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist): features that are each other's nearest in the pair of images.
+
+    forth: the nearest feature of each query feature and image; back(probe_id, feature_id, q_feature): the nearest query feature of each feature and probe.
+    """
+    return forth.filter("nth = 1").drop("nth").join(back.select("probe_id", "feature_id", "q_feature"), ["probe_id", "feature_id", "q_feature"], "left_semi")
 
 
 def best_half(matches: DataFrame, at_least: int = 1) -> DataFrame:
@@ -38,7 +40,7 @@ def best_half(matches: DataFrame, at_least: int = 1) -> DataFrame:
 
 
 def cumulative_share_mean(dist: DataFrame, share: float = 0.65) -> DataFrame:
-    """(probe_id, image_id, n, mean_dist): the mean of the smallest distances that together make up at most ``share`` of their sum."""
+    """(probe_id, image_id, n, mean_dist): the mean of the smallest distances of a pair's matches that together make up at most ``share`` of their sum."""
     over = Window.partitionBy(*PAIR)
     run = F.sum("dist").over(over.orderBy("dist", "q_feature", "feature_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = dist.withColumns({"run": F.round(run, 7), "total": F.round(F.sum("dist").over(over) * share, 7)}).filter(F.col("run") <= F.col("total"))

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provq.functions import vectors as V
 
 #: Query rows and base rows of one task of the exact join.
 QUERY_BLOCK, BASE_BLOCK = 2_048, 20_000
@@ -53,6 +52,7 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         bb = max(1, min(8, n_b // 2_000))
     q = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bb - 1))).alias("bb"))
     b = base.select("feature_id", "v", F.pmod(F.xxhash64("feature_id"), F.lit(bb)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q, b = (df.toDF(*df.columns) for df in (q, b))  # both may stem from one table
     top = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_block_top(k), "q bigint, feature_id bigint, dist double")
     return ranked(top, k)
 
@@ -163,11 +163,46 @@ def merge_indexes(spark, paths: list[str], path: str) -> None:
     out.repartition("cell").write.partitionBy("cell").parquet(path)
 
 
-def pair_distances(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """pairs(probe_id, image_id) -> the distances of all features of the two images: (probe_id, image_id, q_feature, feature_id, dist)."""
-    q = features.select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), F.col("v").alias("qv"))
-    b = features.select("image_id", "feature_id", "v")
-    return pairs.join(q, "probe_id").join(b, "image_id").select("probe_id", "image_id", "q_feature", "feature_id", V.unit_distance(F.col("qv"), F.col("v")).alias("dist"))
+def _image_top(n: int):
+    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
+        names = ("q", "image_id", "feature_id", "dist")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        if not queries.num_rows or not base.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
+        ids, image = base.column("feature_id").to_numpy(), base.column("image_id").to_numpy()
+        o = np.lexsort((ids, image))
+        ids, image, b = ids[o], image[o], _matrix(base)[o]
+        heads = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+        sizes = np.diff(np.r_[heads, len(image)])
+        code = np.repeat(np.arange(len(heads)), sizes) * 8.0
+        at = np.concatenate([heads[sizes > i] + i for i in range(n)])  # an image's rows stay together, so its best have fixed places
+        q, of = _matrix(queries), queries.column("q").to_numpy()
+        out = []
+        for s in range(0, len(q), 128):
+            d = np.maximum(np.round(2 - 2 * (q[s : s + 128] @ b.T), 9), 0) + 0.0
+            best = np.argsort(d + code, axis=1, kind="stable")[:, at]
+            out.append((np.repeat(of[s : s + 128], len(at)), np.tile(image[at], len(best)), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
+        return pa.table({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(names)})
+
+    return run
+
+
+def nearest_per_image(queries: DataFrame, base: DataFrame, n: int) -> DataFrame:
+    """queries(q, v), base(feature_id, image_id, v) -> (q, image_id, feature_id, dist, nth): the n features of each image nearest to each query.
+
+    Blocks hold whole images; an image larger than a block is cut, and its parts' answers are merged. Equal distances go by feature_id.
+    """
+    n_q, n_b = queries.count(), base.count()
+    qb, bb = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_b // BASE_BLOCK), min(8, n_b // 2_000))
+    large = base.groupBy("image_id").agg(F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("feature_id"), F.coalesce("parts", F.lit(1)))
+    # there are at most n_b / BASE_BLOCK large images
+    b = base.join(F.broadcast(large), "image_id", "left").select("feature_id", "image_id", "v", F.pmod(F.xxhash64("image_id", part), F.lit(bb)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bb - 1))).alias("bb"))
+    q, b = (df.toDF(*df.columns) for df in (q, b))  # both may stem from one table
+    top = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_image_top(n), "q bigint, image_id bigint, feature_id bigint, dist double")
+    nth = F.row_number().over(Window.partitionBy("q", "image_id").orderBy("dist", "feature_id"))
+    return top.withColumn("nth", nth).filter(F.col("nth") <= n)
 
 
-__all__ = ["assign_cells", "exact_knn", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "pair_distances", "product_codes", "ranked", "train_cells", "train_projection"]
+__all__ = ["assign_cells", "exact_knn", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "product_codes", "ranked", "train_cells", "train_projection"]

@@ -43,10 +43,21 @@ def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return hits(spark, sf_dir, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
-def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all features of each probe to those of each other image it hits."""
+def pair_matches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist, nth): each probe feature's n nearest in each other image that the probe hits."""
+    feat = features(spark, sf_dir)
+    q = queries_of(feat)
     pairs = hits(spark, sf_dir).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
-    return search.pair_distances(pairs, features(spark, sf_dir))
+    near = search.nearest_per_image(q.select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "image_id", "v"), n).withColumnRenamed("q", "q_feature")
+    return near.join(q.select(F.col("feature_id").alias("q_feature"), F.col("image_id").alias("probe_id")), "q_feature").join(pairs, ["probe_id", "image_id"], "left_semi")
+
+
+def nearest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(probe_id, feature_id, q_feature): of each probe, the feature nearest to each feature."""
+    feat = features(spark, sf_dir)
+    q = queries_of(feat)
+    near = search.nearest_per_image(feat.select(F.col("feature_id").alias("q"), "v"), q.select("feature_id", "image_id", "v"), 1)
+    return near.select(F.col("image_id").alias("probe_id"), F.col("q").alias("feature_id"), F.col("feature_id").alias("q_feature"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
