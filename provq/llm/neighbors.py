@@ -3,7 +3,7 @@
 Method: vectors are routed to shards of bounded size by centroids that are fitted on a bounded sample (a tree of median splits
 along main directions, so that dense regions get as many shards as their share of the vectors asks for). Each shard is one task: it builds a
 robust-pruned directed graph over its members (``vamana``) and answers beam searches, those of its own members and those of
-queries that lie nearly as near to its centroid as to their own. Candidates are scored exactly and the shards' answers merged.
+queries that may have a neighbour in it. Candidates are scored exactly and the shards' answers merged.
 
 Exact copies would crowd each other out of the graph and its shard, so only one of them, the smallest key, is indexed; the others take
 over its answer, with the copies themselves in front.
@@ -23,10 +23,12 @@ from provq.runtime import Workspace, stored_bytes
 
 #: Vectors of a shard, and vectors of the sample from which shards are fitted.
 SHARD_ROWS, SAMPLE_ROWS = 16_000, 40_000
-#: Search settings for neighbours of a cosine of 0.99 and of 0.9 at least. Vectors that near lie in the same shard or in shards whose
-#: centroids are about equally near: on 300,000 vectors in 19 to 38 shards, 0.06 brought together all pairs of 0.99, 0.1 all of 0.9.
-VERY_CLOSE = {"probes": 6, "margin": 0.06, "width": 40}
+#: Search settings for neighbours of a cosine of 0.99 at least: every shard that can hold one is probed, however many there are.
+VERY_CLOSE = {"within": 0.99, "width": 40}
+#: Search settings for neighbours of a cosine of 0.9 at least.
 CLOSE = {"probes": 8, "margin": 0.1, "width": 40}
+#: Nearest centroids whose borders are looked at; fewer only probe more shards. Room for single precision.
+BORDERS, SLACK = 8, 1e-5
 #: Tables of exceptions up to this stored size are broadcast, larger ones joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -76,33 +78,56 @@ def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
     return (c / np.where(n > 0, n, 1)).astype(np.float32)
 
 
-def _route(centroids: np.ndarray, splits: np.ndarray, first: np.ndarray, names: np.ndarray, dim: int, probes: int, margin: float):
+def reachable(centroids: np.ndarray, sims: np.ndarray, within: float) -> np.ndarray:
+    """For each vector (its cosines to the centroids) the shards that can hold a vector of a cosine of ``within`` or more to it.
+
+    A vector is a member of the shard whose centroid has the highest product with it, so between the shards h and s lies the plane through the origin
+    across c_h - c_s. A vector at an angle of at most a has crossed it only if (c_h - c_s).q <= sin(a) |c_h - c_s|; a shard that fails this for
+    any h is out. This holds for every number of shards and every density.
+    """
+    out = np.ones(sims.shape, bool)
+    if within <= 0:
+        return out
+    sine = np.sqrt(max(0.0, 1.0 - within * within))
+    apart = np.sqrt(np.maximum(0, ((centroids[:, None].astype(np.float64) - centroids[None]) ** 2).sum(2))).astype(np.float32)
+    most = min(BORDERS, sims.shape[1])
+    for h in np.argpartition(-sims, most - 1, axis=1)[:, :most].T:
+        out &= np.take_along_axis(sims, h[:, None], 1) - sims <= sine * apart[h] + SLACK
+    return out
+
+
+def _probed(centroids: np.ndarray, sims: np.ndarray, probes: int, margin: float, within: float | None) -> np.ndarray:
+    """Which shards each vector is sent to, if it asks."""
+    if within is not None:
+        return reachable(centroids, sims, within)
+    most = min(probes, sims.shape[1])
+    near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+    out = np.zeros(sims.shape, bool)
+    np.put_along_axis(out, near, True, 1)
+    return out & (sims >= sims.max(1, keepdims=True) - margin)
+
+
+def _route(centroids: np.ndarray, splits: np.ndarray, first: np.ndarray, names: np.ndarray, dim: int, probes: int, margin: float, within: float | None):
     """(id, vec, asks) -> (shard, id, role, vec): 0 a member, 1 a member that asks, 2 a query from elsewhere."""
+    step = max(64, 250_000 // len(names))  # a vector may go to every shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             ids, asks = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
             flat = _values(b.column(1)).astype(np.float32, copy=False)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(ids), [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
             sims = unit(flat, dim).astype(np.float32) @ centroids.T
-            most = min(probes, sims.shape[1])
-            near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-            top = np.take_along_axis(sims, near, 1)
-            home = near[:, 0]
+            home = sims.argmax(1)
             own = first[home] + (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits[home]
             shard, row, role = [own], [np.arange(len(ids))], [asks.astype(np.int8)]
-            for j in range(most):
-                sent = np.flatnonzero(asks & (top[:, j] >= top[:, 0] - margin))
-                for s in range(int(splits.max())):
-                    to = sent[splits[near[sent, j]] > s]
-                    target = first[near[to, j]] + s
-                    foreign = target != own[to]
-                    shard.append(target[foreign])
-                    row.append(to[foreign])
-                    role.append(np.full(foreign.sum(), 2, np.int8))
+            to_cell = _probed(centroids, sims, probes, margin, within) & asks[:, None]
+            for c in range(len(centroids)):
+                sent = np.flatnonzero(to_cell[:, c])
+                for target in range(first[c], first[c] + splits[c]):
+                    to = sent[own[sent] != target]
+                    shard.append(np.full(len(to), target))
+                    row.append(to)
+                    role.append(np.full(len(to), 2, np.int8))
             r = np.concatenate(row)
             yield pa.RecordBatch.from_arrays([pa.array(names[np.concatenate(shard)]), pa.array(ids[r]), pa.array(np.concatenate(role)), raw.take(pa.array(r))], ["shard", "id", "role", "vec"])
 
@@ -173,12 +198,13 @@ def _spread_names(df: DataFrame, shards: int) -> np.ndarray:
     return names
 
 
-def nearest(rows: DataFrame, *, key: str = "feature_id", vector: str = "features", k: int = 5, order: str | None = "ingested_at", dim: int = 64, queries: Column | None = None, probes: int = 0, margin: float = 0.1, width: int = 64, min_similarity: float = -2.0, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(rows: DataFrame, *, key: str = "feature_id", vector: str = "features", k: int = 5, order: str | None = "ingested_at", dim: int = 64, queries: Column | None = None, probes: int = 0, margin: float = 0.1, within: float | None = None, width: int = 64, min_similarity: float = -2.0, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id BIGINT, other BIGINT, cosine DOUBLE, rank INT): for each asking vector the k most similar other vectors found.
 
     queries: which rows ask, as a condition on the column ``id``, all where absent. min_similarity: neighbours below it are left out.
     ``probes`` (shards a query is sent to at most, 0: all), ``margin`` (by how much a centroid's cosine may fall short of the nearest one's) and
-    ``width`` (of the beam) trade time for recall; with all shards probed only the graph's own loss is left.
+    ``width`` (of the beam) trade time for recall; with all shards probed only the graph's own loss is left. ``within`` takes the place of probes and
+    margin: all shards are probed that can hold a neighbour of that cosine or more (``reachable``), so of these, too, only the graph's loss is left.
 
     Defined cases: rows with a null key take no part; a vector is usable if it has exactly ``dim`` elements, all present and finite, not
     all zero; others take no part; each key counts once, with its earliest usable vector by ``order`` (nulls first; then by a hash of the
@@ -224,7 +250,7 @@ def nearest(rows: DataFrame, *, key: str = "feature_id", vector: str = "features
     starts = np.concatenate([[0], np.cumsum(splits)[:-1]])
     shards = int(splits.sum())
     names = _spread_names(rows, shards)
-    route = _route(centroids, splits, starts, names, dim, len(centroids) if all_shards else probes, 9.0 if all_shards else margin)
+    route = _route(centroids, splits, starts, names, dim, len(centroids) if all_shards else probes, 9.0 if all_shards else margin, within)
     routed = u.select("id", "vec", "asks").mapInArrow(route, "shard int, id bigint, role tinyint, vec binary")
     found = routed.repartition(shards, "shard").groupBy("shard").applyInArrow(_search(dim, k, width, min_similarity, 0), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
