@@ -5,6 +5,8 @@ Edges are (a, b, weight) with a < b unless stated otherwise.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,12 +99,15 @@ def near_duplicates(edges: DataFrame) -> DataFrame:
     return share.join(nodes, "group_id").select("group_id", ((F.col("nodes") > 2) & (F.col("share") <= 0.5)).alias("near_duplicate"))
 
 
-def expand_levels(links: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """links(a, b), starts(node) -> (node, level): breadth-first levels, a node at its first; links hold both ways."""
+def expand_levels(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """links(a, b), starts(node) -> (node, level): breadth-first levels, a node at its first; links hold both ways.
+
+    All levels until no new node is found, or the first ``most``, where given.
+    """
     ws = Workspace(links.sparkSession, "levels")
     both = ws.save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     seen = ws.save(starts.select("node", F.lit(0).alias("level")).distinct(), "seen")
-    for k in range(1, most + 1):
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         edge = seen.filter(F.col("level") == k - 1).select(F.col("node").alias("a"))
         new = ws.save(both.join(edge, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(k).alias("level")), "new")
         if not new.limit(1).count():

@@ -374,10 +374,17 @@ def pic_clusters(spark, d):
     lev AS (SELECT min(a) AS node, 0 AS level FROM way UNION SELECT way.b, lev.level + 1 FROM lev JOIN way ON way.a = lev.node WHERE lev.level < 4)
     SELECT node, min(level) AS level FROM lev GROUP BY 1""")
 def bfs_levels(spark, d):
+    """The first four levels, as its SQL says; ``bfs_levels_all`` has every node that is reached."""
     e = I.edges(spark, d)
     return graph.expand_levels(e, e.agg(F.min("a").alias("node")), 4)
 
 
+@_query()
+def bfs_levels_all(spark, d):
+    e = I.edges(spark, d)
+    return graph.expand_levels(e, e.agg(F.min("a").alias("node")))
+
+
 @_query(f"WITH {I.SQL_JOURNAL}, l AS (SELECT DISTINCT tree, parent, child FROM k), up AS (SELECT tree, child AS node, count(*) AS n FROM l GROUP BY 1, 2), down AS (SELECT tree, parent AS node, count(*) AS n FROM l GROUP BY 1, 2) SELECT n.tree AS journal_id, n.node, coalesce(up.n, 0) AS n_parents, coalesce(down.n, 0) AS n_children, up.n IS NULL AS is_root, down.n IS NULL AS is_leaf FROM n LEFT JOIN up USING (tree, node) LEFT JOIN down USING (tree, node)")
 def roots_leafs(spark, d):
     n, k = I.journal(spark, d)
