@@ -6,6 +6,7 @@ Edges are (a, b, weight) with a < b unless stated otherwise.
 from __future__ import annotations
 
 import itertools
+import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,7 +67,10 @@ def flow_step(m: DataFrame, inflation: float = 2.0, prune: float = 0.001) -> Dat
 
 
 def markov_clusters(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, cluster): Markov clustering; a node's cluster is the smallest node among the attractors that hold its flow."""
+    """(node, cluster): Markov clustering; a node's cluster is the smallest node among the attractors that hold its flow.
+
+    Rounds end when no entry moves by more than 1e-8; where ``rounds`` don't suffice for that, a warning says so.
+    """
     ws = Workspace(edges.sparkSession, "flow")
     m = ws.save(flow_start(edges), "m")
     for _ in range(rounds):
@@ -76,6 +80,8 @@ def markov_clusters(edges: DataFrame, rounds: int = 100) -> DataFrame:
         m = after
         if not moved:
             break
+    else:
+        warnings.warn(f"Markov clustering has not converged after {rounds} rounds; its clusters may still change", RuntimeWarning, stacklevel=2)
     attractors = m.filter("i = j").select(F.col("i"))
     return m.join(attractors, "i").groupBy(F.col("j").alias("node")).agg(F.min("i").alias("cluster"))
 

@@ -362,7 +362,7 @@ def mcl_step(spark, d):
 
 @_query()
 def mcl_clusters(spark, d):
-    return graph.markov_clusters(I.edges(spark, d), rounds=12)
+    return graph.markov_clusters(I.edges(spark, d))
 
 
 @_query()

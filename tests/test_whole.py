@@ -1,5 +1,10 @@
 """The core's operators do the whole job: no silent limit on rounds, levels or cells."""
 
+import warnings
+
+import numpy as np
+import pytest
+
 from provq.operators import graph
 from provq.plans import catalog
 from provq.plans import inputs as I
@@ -16,3 +21,29 @@ def test_all_levels_of_the_links(spark):
     while front:
         front = [b for b in {b for a in front for b in near[a]} if b not in want and not want.update({b: want[next(a for a in front if b in near[a])] + 1})]
     assert {r["node"]: r["level"] for r in catalog.queries()["bfs_levels_all"](spark, DATA).collect()} == want
+
+
+def test_markov_clusters_say_when_the_limit_is_hit(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "a bigint, b bigint, weight double")
+    with pytest.warns(RuntimeWarning, match="not converged after 2 rounds"):
+        graph.markov_clusters(path, rounds=2)
+
+
+def test_markov_query_converges(spark):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        got = catalog.queries()["mcl_clusters"](spark, DATA)
+    m = graph.flow_start(I.edges(spark, DATA)).toPandas()
+    nodes = sorted(set(m["i"]))
+    at = {v: i for i, v in enumerate(nodes)}
+    x = np.zeros((len(nodes), len(nodes)))
+    x[m["i"].map(at), m["j"].map(at)] = m["m"]
+    for _ in range(100):
+        y = (x @ x) ** 2
+        y /= y.sum(0)
+        y[(np.round(y, 9) < 0.001) & (y < y.max(0))] = 0
+        if np.abs(y - x).max() <= 1e-8:
+            break
+        x = y
+    holds = (y > 0) & (np.diag(y) > 0)[:, None]
+    assert {r["node"]: r["cluster"] for r in got.collect()} == {nodes[j]: nodes[np.flatnonzero(holds[:, j])[0]] for j in range(len(nodes)) if holds[:, j].any()}
