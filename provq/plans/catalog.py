@@ -346,9 +346,15 @@ def weighted_degree(spark, d):
     d3 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM w3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
     SELECT 1 AS round, node, round(degree, 6) AS degree FROM d1 UNION ALL SELECT 2, node, round(degree, 6) FROM d2 UNION ALL SELECT 3, node, round(degree, 6) FROM d3""")
 def top_degree_removal(spark, d):
+    """The first three rounds, as its SQL unrolls them; ``top_degree_removal_all`` has the operator's 20."""
     return graph.remove_top_degree(I.edges(spark, d), 3).select("round", "node", _r("degree"))
 
 
+@_query()
+def top_degree_removal_all(spark, d):
+    return graph.remove_top_degree(I.edges(spark, d)).select("round", "node", _r("degree"))
+
+
 @_query(f"""WITH {I.SQL_EDGES},
     raw AS (SELECT a AS i, b AS j, weight AS m FROM way UNION ALL SELECT DISTINCT a, a, 1.0 FROM way),
     m0 AS (SELECT i, j, m / sum(m) OVER (PARTITION BY j) AS m FROM raw),

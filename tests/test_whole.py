@@ -47,3 +47,17 @@ def test_markov_query_converges(spark):
         x = y
     holds = (y > 0) & (np.diag(y) > 0)[:, None]
     assert {r["node"]: r["cluster"] for r in got.collect()} == {nodes[j]: nodes[np.flatnonzero(holds[:, j])[0]] for j in range(len(nodes)) if holds[:, j].any()}
+
+
+def test_top_degree_removal_has_20_rounds(spark):
+    left, want = {(r["a"], r["b"]): r["weight"] for r in I.edges(spark, DATA).collect()}, []
+    for k in range(1, 21):
+        total = {}
+        for e, w in left.items():
+            for v in e:
+                total[v] = total.get(v, 0) + w
+        node = min(total, key=lambda v: (-round(total[v], 9), v))
+        want.append((k, node, round(total[node], 5)))
+        left = {e: w for e, w in left.items() if node not in e}
+    got = catalog.queries()["top_degree_removal_all"](spark, DATA).collect()
+    assert sorted((r["round"], r["node"], round(r["degree"], 5)) for r in got) == want
