@@ -122,6 +122,22 @@ def ivf_knn(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k
     return ranked(top, k)
 
 
+def choose_nprobe(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k: int, recall: float = 0.9, *, sample_rows: int = 1_000, seed: int = 15) -> int:
+    """The fewest cells to probe so that a sample of the queries (all, if there are fewer) finds at least ``recall`` of its true k nearest, found exactly."""
+    base = base.select("feature_id", "v")
+    q = queries.select("q", "v").orderBy(F.xxhash64("q", F.lit(seed)), "q").limit(sample_rows)
+    pairs = exact_knn(q, base, k).select("q", "feature_id")
+    order = assign_cells(q, centroids, len(centroids)).select("q", "cell", "cell_rank")
+    home = assign_cells(base, centroids).select("feature_id", "cell")
+    ranks = pairs.join(home, "feature_id").join(order, ["q", "cell"]).groupBy("cell_rank").count().orderBy("cell_rank").collect()
+    total, seen = sum(r["count"] for r in ranks), 0
+    for r in ranks:
+        seen += r["count"]
+        if seen >= recall * total:
+            return r["cell_rank"]
+    return len(centroids)
+
+
 def product_codes(rows: DataFrame, codebooks: list[list[list[float]]]) -> DataFrame:
     """Adds ``pq``: for each of the equal parts of v, the number of the nearest codeword of that part's codebook."""
     books = [np.array(b) for b in codebooks]
@@ -205,4 +221,4 @@ def nearest_per_image(queries: DataFrame, base: DataFrame, n: int) -> DataFrame:
     return top.withColumn("nth", nth).filter(F.col("nth") <= n)
 
 
-__all__ = ["assign_cells", "exact_knn", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "product_codes", "ranked", "train_cells", "train_projection"]
+__all__ = ["assign_cells", "choose_nprobe", "exact_knn", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "product_codes", "ranked", "train_cells", "train_projection"]

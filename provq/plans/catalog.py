@@ -147,6 +147,31 @@ def intersection_at_k(spark, d):
     return got.select("n_queries", _r("share"))
 
 
+def _trained(feat: DataFrame) -> tuple[list[list[float]], int]:
+    """64 cells fitted on a sample, and as many of them to probe as a sample of the queries needs for 0.92 of its neighbours (0.9 with room for the draw)."""
+    b = feat.select("feature_id", "v")
+    cells = search.train_cells(b, 64)
+    return cells, search.choose_nprobe(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), b, cells, 10, 0.92)
+
+
+@_query()
+def ivf_search_trained(spark, d):
+    """Search by fitted cells with a recall of at least 0.9; ``ivf_search`` has the fixed centroids of its SQL."""
+    feat = I.features(spark, d)
+    cells, nprobe = _trained(feat)
+    got = search.ivf_knn(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), cells, 10, nprobe=nprobe)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
+@_query()
+def intersection_at_k_trained(spark, d):
+    feat = I.features(spark, d)
+    q, b = I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v")
+    cells, nprobe = _trained(feat)
+    got = evaluate.intersection_at(search.ivf_knn(q, b, cells, 10, nprobe=nprobe), search.exact_knn(q, b, 10), 10)
+    return got.select("n_queries", _r("share"))
+
+
 @_query()
 def ann_lsh(spark, d):
     feat = I.features(spark, d)

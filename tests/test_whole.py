@@ -61,3 +61,8 @@ def test_top_degree_removal_has_20_rounds(spark):
         left = {e: w for e, w in left.items() if node not in e}
     got = catalog.queries()["top_degree_removal_all"](spark, DATA).collect()
     assert sorted((r["round"], r["node"], round(r["degree"], 5)) for r in got) == want
+
+
+def test_fitted_cells_find_nine_of_ten(spark):
+    r = catalog.queries()["intersection_at_k_trained"](spark, DATA).collect()
+    assert len(r) == 1 and r[0]["n_queries"] > 0 and r[0]["share"] >= 0.9
