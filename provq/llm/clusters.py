@@ -185,7 +185,7 @@ def similarity_clusters(records: DataFrame, *, key: str = "file", vector: str =
     ups: list[DataFrame] = []
     turn = idle = 0
     while True:
-        near = neighbors.nearest(state, key="c", vector="s", k=k, order=None, dim=dim, min_similarity=least, **neighbors.CLOSE)
+        near = neighbors.nearest(state, key="c", vector="s", k=k, order=None, dim=dim, min_similarity=least, **neighbors.CLOSE | {"within": least})
         edges = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if turn:  # means of clusters are shorter than 1, so their linkage may be below their cosine
             ends = [state.select(F.col("c").alias(e), F.col("n").alias("n" + e), F.col("s").alias("s" + e)) for e in "ab"]

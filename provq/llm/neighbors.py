@@ -25,8 +25,8 @@ from provq.runtime import Workspace, stored_bytes
 SHARD_ROWS, SAMPLE_ROWS = 16_000, 40_000
 #: Search settings for neighbours of a cosine of 0.99 at least: every shard that can hold one is probed, however many there are.
 VERY_CLOSE = {"within": 0.99, "width": 40}
-#: Search settings for neighbours of a cosine of 0.9 at least.
-CLOSE = {"probes": 8, "margin": 0.1, "width": 40}
+#: Search settings for neighbours of a cosine of 0.9 at least, in the same way.
+CLOSE = {"within": 0.9, "width": 40}
 #: Nearest centroids whose borders are looked at; fewer only probe more shards. Room for single precision.
 BORDERS, SLACK = 8, 1e-5
 #: Tables of exceptions up to this stored size are broadcast, larger ones joined by a shuffle.

@@ -42,3 +42,17 @@ def test_nearest_over_many_shards_of_a_dense_group(spark):
     top = np.argsort(-sims, axis=1, kind="stable")[:, :5]
     want = {(i, int(j)) for i in range(len(x)) for j in top[i] if sims[i, j] >= 0.99}
     assert len({(r["id"], r["other"]) for r in got.collect()} & want) >= 0.99 * len(want)
+
+
+def test_every_pair_of_similar_files_meets_in_a_shard():
+    r = np.random.default_rng(8)
+    x = skewed_rows(4000, 0, 8, 0)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = (0.905 * x + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1, keepdims=True)).astype(np.float32)
+    both, i = np.concatenate([x, y]), np.arange(4000)
+    home, sent = shards_of(both, 100, 8000, **{k: v for k, v in neighbors.CLOSE.items() if k != "width"})
+    assert sent[i, home[i + 4000]].all() and sent[i + 4000, home[i]].all()
+    home, sent = shards_of(both, 100, 8000, probes=8, margin=0.1)
+    met = (sent[i, home[i + 4000]] | sent[i + 4000, home[i]]).mean()
+    assert met < 1
