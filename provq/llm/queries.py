@@ -26,14 +26,14 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's 5 nearest, of which the pairs of a cosine of 0.99 or more are the cases."""
-    got = neighbors.nearest(table(spark, sf_dir, "query_index"), k=5, min_similarity=0.99, **neighbors.VERY_CLOSE)
+    got = neighbors.nearest(table(spark, sf_dir, "query_index"), k=5, min_similarity=0.99, within=0.99, recall=neighbors.ALL_OF_SAMPLE, width=40)
     return got.select(F.least("id", "other").alias("feature_a"), F.greatest("id", "other").alias("feature_b")).distinct()
 
 
 def p4_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every vector whose id is divisible by 100, with the key points of both sides."""
     rows = table(spark, sf_dir, "query_index")
-    got = neighbors.nearest(rows, k=5, queries=F.col("id") % 100 == 0)
+    got = neighbors.nearest(rows, k=5, queries=F.col("id") % 100 == 0, recall=0.96, width=128)
     points = rows.filter("feature_id is not null").groupBy("feature_id").agg(F.min(F.struct("ingested_at", "keypointMetadata"))["keypointMetadata"].alias("points"))
     got = got.join(points.select(F.col("feature_id").alias("id"), F.col("points").alias("own_keypoint")), "id", "left")
     got = got.join(points.select(F.col("feature_id").alias("other"), F.col("points").alias("other_keypoint")), "other", "left")

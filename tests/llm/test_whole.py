@@ -56,3 +56,26 @@ def test_every_pair_of_similar_files_meets_in_a_shard():
     home, sent = shards_of(both, 100, 8000, probes=8, margin=0.1)
     met = (sent[i, home[i + 4000]] | sent[i + 4000, home[i]]).mean()
     assert met < 1
+
+
+def test_measured_border_finds_the_close_ones_of_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "QUERIES_OF_A_MEMBER", 1)  # shards with many queries are built several times
+    x = skewed_rows(6000, 0.34, 5, 0.012)
+    rows = spark.createDataFrame([(i, [float(e) for e in v], None) for i, v in enumerate(x)], "feature_id bigint, features array<float>, ingested_at timestamp")
+    got = neighbors.nearest(rows, k=5, min_similarity=0.99, shard_rows=200, sample_rows=6000, within=0.99, recall=neighbors.ALL_OF_SAMPLE, width=40)
+    sims = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :5]
+    want = {(i, int(j)) for i in range(len(x)) for j in top[i] if sims[i, j] >= 0.99}
+    assert len({(r["id"], r["other"]) for r in got.collect()} & want) >= 0.99 * len(want)
+
+
+def test_measured_border_keeps_the_recall_that_was_asked_for(spark):
+    x = skewed_rows(4000, 0, 9, 0)  # vectors without close neighbours, the hardest case
+    rows = spark.createDataFrame([(i, [float(e) for e in v], None) for i, v in enumerate(x)], "feature_id bigint, features array<float>, ingested_at timestamp")
+    got = neighbors.nearest(rows, k=5, shard_rows=250, sample_rows=4000, recall=0.95, width=128)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :5]
+    found = {(r["id"], r["other"]) for r in got.collect()}
+    assert np.mean([(i, int(j)) in found for i in range(len(x)) for j in top[i]]) >= 0.93
