@@ -29,7 +29,7 @@ from provq.runtime import Workspace, stored_bytes
 SHARD_ROWS, MOST_SHARD_ROWS = 16_000, 128_000
 SAMPLE_ROWS, SAMPLE_OF_A_SHARD, MOST_SAMPLE_ROWS = 40_000, 64, 1_000_000
 #: Queries of the sample whose neighbours are found by brute force, and pairs that it must hold for a border to be read from it.
-MEASURED_QUERIES, LEAST_PAIRS = 4_000, 200
+MEASURED_QUERIES, LEAST_PAIRS = 2_000, 200
 #: Queries from elsewhere that a shard answers for each of its members; a shard with more of them is built several times over.
 QUERIES_OF_A_MEMBER = 8
 #: Search settings for neighbours of a cosine of 0.99 at least: every shard that can hold one is probed, however many there are.

@@ -26,7 +26,7 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's 5 nearest, of which the pairs of a cosine of 0.99 or more are the cases."""
-    got = neighbors.nearest(table(spark, sf_dir, "query_index"), k=5, min_similarity=0.99, within=0.99, recall=neighbors.ALL_OF_SAMPLE, width=40)
+    got = neighbors.nearest(table(spark, sf_dir, "query_index"), k=5, min_similarity=0.99, within=0.99, recall=neighbors.ALL_OF_SAMPLE, width=24)
     return got.select(F.least("id", "other").alias("feature_a"), F.greatest("id", "other").alias("feature_b")).distinct()
 
 
