@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extensions taken as images, and as raw camera data that queries leave out.
-IMAGE_EXTENSIONS = ("bmp", "cr2", "dng", "gif", "jp2", "jpe", "jpeg", "jpg", "nef", "png", "ppm", "raw", "tif", "tiff", "webp")
-RAW_EXTENSIONS = ("3fr", "ari", "arw", "bay", "cap", "cr2", "crw", "dcr", "dcs", "dng", "drf", "eip", "erf", "fff", "iiq", "k25", "kdc", "mef", "mos", "mrw", "nef", "nrw", "orf", "pef", "ptx", "raf", "raw", "rw2", "rwl", "rwz", "sr2", "srf", "srw", "x3f")
+#: File extensions taken as images; as raw camera data that queries leave out; and those that are never raw.
+IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "ppm", "pgm", "pbm", "pnm", "bmp", "exif", "tiff", "tif", "gif", "nef", "dng", "cr2", "raf", "arw")
+RAW_EXTENSIONS = ("3fr", "ari", "arw", "bay", "crw", "cr2", "cr3", "cap", "data", "dcs", "dcr", "dng", "drf", "eip", "erf", "fff", "gpr", "iiq", "k25", "kdc", "mdc", "mef", "mos", "mrw", "nef", "nrw", "obm", "orf", "pef", "ptx", "pxn", "r3d", "raf", "raw", "rwl", "rw2", "rwz", "sr2", "srf", "srw", "tif", "x3f")
+NEVER_RAW = ("jpg", "png", "bmp", "gif")
 
 
 def basename(path: Column) -> Column:
@@ -33,7 +34,7 @@ def is_image(path: Column) -> Column:
 
 
 def is_raw(path: Column) -> Column:
-    return extension(path).isin(*RAW_EXTENSIONS)
+    return extension(path).isin(*RAW_EXTENSIONS) & ~extension(path).isin(*NEVER_RAW)
 
 
 def mimetype(path: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provq.runtime import Workspace, partitions_for
@@ -112,41 +112,44 @@ def _solve(ws: Workspace, forest: DataFrame, rows: int, level: int, rows_per_tas
 
 
 def _double(ws: Workspace, forest: DataFrame, rows: int) -> DataFrame:
-    """Pointer doubling with joins: on bare pointers first, to find what hangs on a cycle, then with texts on the rest."""
+    """Pointer doubling with joins: on bare pointers first, to find what hangs on a cycle, then with texts on the rest.
+
+    What has reached its root is set aside and only looked up, so the root of a giant tree isn't a key that all its nodes ask for.
+    """
     rounds = max(1, rows).bit_length() + 1
-    bare = ws.save(forest.select("tree", "node", "parent"), "pointers")
-    for _ in range(rounds):
-        if not bare.filter("parent is not null").limit(1).count():
-            break
-        up = bare.select("tree", F.col("node").alias("parent"), F.col("parent").alias("next"))
-        after = ws.save(bare.join(up, ["tree", "parent"], "left").select("tree", "node", F.col("next").alias("parent")), "pointers")
-        ws.drop(bare)
-        bare = after
-    cyclic = bare.filter("parent is not null").select("tree", "node")
-    state = ws.save(forest.join(cyclic, ["tree", "node"], "left_anti"), "doubling")
-    for _ in range(rounds):
-        if not state.filter("parent is not null").limit(1).count():
-            break
-        up = state.select("tree", F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("top").alias("up_top"))
-        after = ws.save(
-            state.join(up, ["tree", "parent"], "left").select(
-                "tree", "node", F.col("next").alias("parent"), F.concat_ws("/", "up_path", "path").alias("path"),
-                (F.coalesce("up_depth", F.lit(0)) + F.col("depth")).alias("depth"), F.coalesce("up_top", "top").alias("top"),
-            ),
-            "doubling",
-        )
-        ws.drop(state)
-        state = after
+    found: list[DataFrame] = []
+
+    def doubled(state: DataFrame, carried: list[str], joined: list[Column], label: str) -> DataFrame:
+        """The rows that still have a parent after all rounds; those that don't are added to ``found``."""
+        left = ws.save(state, label)
+        ends = left.filter("parent is null")
+        found.append(ends)
+        left = left.filter("parent is not null")
+        for _ in range(rounds):
+            if not left.limit(1).count():
+                break
+            up = ends.unionByName(left).select("tree", F.col("node").alias("parent"), F.col("parent").alias("next"), *(F.col(c).alias("up_" + c) for c in carried))
+            after = ws.save(left.join(up, ["tree", "parent"]).select("tree", "node", F.col("next").alias("parent"), *joined), label)
+            done = after.filter("parent is null")
+            found.append(done)
+            ends, left = ends.unionByName(done), after.filter("parent is not null")
+        return left
+
+    cyclic = doubled(forest.select("tree", "node", "parent"), [], [], "pointers").select("tree", "node")
+    found.clear()
+    join = [F.concat_ws("/", "up_path", "path").alias("path"), (F.col("up_depth") + F.col("depth")).alias("depth"), F.col("up_top").alias("top")]
+    doubled(forest.join(cyclic, ["tree", "node"], "left_anti"), ["path", "depth", "top"], join, "doubling")
     none = F.lit(None)
-    return state.select("tree", "node", "path", "depth", "top", F.lit(False).alias("cyclic")).unionByName(
-        cyclic.select("tree", "node", none.cast("string").alias("path"), none.cast("bigint").alias("depth"), none.cast("bigint").alias("top"), F.lit(True).alias("cyclic"))
-    )
+    out = cyclic.select("tree", "node", none.cast("string").alias("path"), none.cast("bigint").alias("depth"), none.cast("bigint").alias("top"), F.lit(True).alias("cyclic"))
+    for f in found:
+        out = out.unionByName(f.select("tree", "node", "path", "depth", "top", F.lit(False).alias("cyclic")))
+    return out
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame, *, tree: str = "journal_id", node: str = "idx", parent: str = "source", child: str = "target", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Place every node in its tree.
 
-    Returns (tree BIGINT, node BIGINT, parent BIGINT, path STRING, depth BIGINT, root BIGINT, is_cycle BOOLEAN), one row per
+    Returns (tree BIGINT, node BIGINT, path STRING, depth BIGINT, root BIGINT, is_cycle BOOLEAN), one row per
     distinct (tree, node). path joins the nodes from the root down by ``/``; a root has depth 0 and is its own root.
 
     Defined cases: rows of ``nodes`` with a null tree or node are no nodes; repeated nodes and links count once; links with

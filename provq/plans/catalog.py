@@ -457,7 +457,7 @@ def dedupe_stem(spark, d):
     return i.withColumn("nth", nth).filter("nth = 1").select("stem", "image_id", "name")
 
 
-@_query("SELECT lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, count(*) AS n, lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('bmp', 'cr2', 'dng', 'gif', 'jp2', 'jpe', 'jpeg', 'jpg', 'nef', 'png', 'ppm', 'raw', 'tif', 'tiff', 'webp') AS is_image FROM images WHERE name IS NOT NULL GROUP BY 1, 3")
+@_query("SELECT lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, count(*) AS n, lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('png', 'jpg', 'jpeg', 'ppm', 'pgm', 'pbm', 'pnm', 'bmp', 'exif', 'tiff', 'tif', 'gif', 'nef', 'dng', 'cr2', 'raf', 'arw') AS is_image FROM images WHERE name IS NOT NULL GROUP BY 1, 3")
 def image_listing(spark, d):
     i = table(spark, d, "images").filter("name is not null")
     return i.groupBy(names.extension(F.col("name")).alias("ext"), names.is_image(F.col("name")).alias("is_image")).agg(F.count("*").alias("n"))

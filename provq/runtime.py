@@ -2,7 +2,7 @@
 
 Intermediate results of iterative operators are written as Parquet below the folder that
 ``spark.checkpoint.dir`` names (all executors share it), so a lost executor never takes results with it.
-Only where that setting is absent, as in tests, a temporary folder of this machine is used.
+Only where that setting is absent and the session runs on this machine alone, as in tests, a temporary folder of this machine is used.
 """
 
 from __future__ import annotations
@@ -14,13 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_base: dict[str, str] = {}
+_roots: dict[str, list[str]] = {}
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    for conf in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getConf().get("spark.checkpoint.dir", None)):
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Without either a local session gets a temporary folder; on a cluster that is an error, as each executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    set_dir = context._jsc.sc().getCheckpointDir()
+    for conf in (spark.conf.get("spark.checkpoint.dir", None), context.getConf().get("spark.checkpoint.dir", None), set_dir.get() if set_dir.isDefined() else None):
         if conf:
             return conf.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
         _own_base[app] = "file://" + tempfile.mkdtemp(prefix="provq-")
@@ -32,13 +40,14 @@ class Workspace:
 
     ``save`` writes a DataFrame and returns the same rows read back, which cuts the lineage; ``drop``
     removes a table that no later step reads. Tables that the returned result still reads stay until the
-    caller removes the checkpoint folder.
+    caller has read it and calls ``clear_all``, or removes the checkpoint folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_base(spark)}/provq-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -65,6 +74,13 @@ class Workspace:
         self.remove(self.root)
 
 
+def clear_all(spark: SparkSession) -> None:
+    """Remove the intermediate tables of all operator calls of this session; their results can't be read any more."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes on disk of a table that ``Workspace.save`` returned."""
     spark = df.sparkSession
