@@ -54,3 +54,22 @@ def index_spec(spec: Column) -> Column:
         F.regexp_extract(spec, r"IVF(\d+)", 1).cast("int").alias("cells"),
         F.regexp_extract(spec, r",(PQ\d+|Flat)$", 1).alias("coding"),
     )
+
+
+def cluster_file(number: Column, size: Column, algorithm: str) -> Column:
+    """The file name of a cluster's document."""
+    return F.format_string(f"cluster%03d_size%d_algorithm_{algorithm}.json", number, size)
+
+
+def percent_encoded(text: Column) -> Column:
+    """Text for a URL; a blank becomes %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def bits(value: Column, n: int) -> Column:
+    """The n lowest bits of a whole number as an array of 0 and 1, lowest first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(value, i).cast("int"))
+
+
+def rows_in_memory(gigabytes: Column, columns: Column, bytes_each: Column) -> Column:
+    return F.floor(gigabytes * F.lit(float(2**30)) / (columns * bytes_each)).cast("bigint")

@@ -32,6 +32,48 @@ def recall_at(results: DataFrame, truth: DataFrame, ranks: tuple[int, ...] = RAN
     return cuts.groupBy("r").agg(F.sum(hit).alias("n_correct"), F.count("*").alias("n_truth")).withColumn("recall", F.col("n_correct") / F.greatest("n_truth", F.lit(1)))
 
 
+def in_world(rows: DataFrame, world: DataFrame) -> DataFrame:
+    """Rows whose file the world (file) holds."""
+    return rows.join(world.select("file").distinct(), "file", "left_semi")
+
+
+def unused(truth: DataFrame, world: DataFrame) -> DataFrame:
+    """Files of the truth that no result can hold, as the world doesn't."""
+    return truth.distinct().join(world.select("file").distinct(), "file", "left_anti").select("probe_id", "file")
+
+
+def precision_at(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(probe_id, precision): the share of k that the true ones among a probe's first k make up."""
+    first = results.filter(F.col("rank") <= k).select("probe_id", "file")
+    return first.join(truth.distinct().withColumn("hit", F.lit(1)), ["probe_id", "file"], "left").groupBy("probe_id").agg((F.count("hit") / F.lit(float(k))).alias("precision"))
+
+
+def sweep(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k: int, nprobes: tuple[int, ...]) -> DataFrame:
+    """(nprobe, n_queries, share): the intersection with the exact first k for several numbers of probed cells."""
+    from provq.operators import search
+
+    exact = search.exact_knn(queries, base, k)
+    out = None
+    for n in nprobes:
+        got = intersection_at(search.ivf_knn(queries, base, centroids, k, nprobe=n), exact, k).withColumn("nprobe", F.lit(n))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def otsu_threshold(rows: DataFrame, group: str, level: str) -> DataFrame:
+    """(group, threshold): the level up to which a cut separates a group's values with the highest variance between both sides (ties: the lowest).
+
+    level: whole numbers of a bounded range, such as 256 grey levels, so that windows run over levels, not rows. A group of one level has none.
+    """
+    h = rows.filter(F.col(level).isNotNull()).groupBy(group, F.col(level).cast("int").alias("threshold")).agg(F.count("*").alias("n"))
+    run, whole = Window.partitionBy(group).orderBy("threshold"), Window.partitionBy(group)
+    weighted = F.col("n") * F.col("threshold")
+    h = h.withColumns({"n0": F.sum("n").over(run), "s0": F.sum(weighted).over(run), "t": F.sum("n").over(whole), "st": F.sum(weighted).over(whole)}).filter("n0 < t")
+    share, apart = F.col("n0") / F.col("t"), F.col("s0") / F.col("n0") - (F.col("st") - F.col("s0")) / (F.col("t") - F.col("n0"))
+    best = F.row_number().over(whole.orderBy(F.round(share * (1 - share) * apart * apart, 6).desc(), "threshold"))
+    return h.withColumn("nth", best).filter("nth = 1").select(group, "threshold")
+
+
 def intersection_at(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """(n_queries, share): of the exact first k of all queries (q, feature_id, rank), the share that was found among the first k."""
     e, f = exact.filter(F.col("rank") <= k), found.filter(F.col("rank") <= k)

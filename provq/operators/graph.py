@@ -82,8 +82,17 @@ def markov_clusters(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
     else:
         warnings.warn(f"Markov clustering has not converged after {rounds} rounds; its clusters may still change", RuntimeWarning, stacklevel=2)
-    attractors = m.filter("i = j").select(F.col("i"))
-    return m.join(attractors, "i").groupBy(F.col("j").alias("node")).agg(F.min("i").alias("cluster"))
+    held = ws.save(m.join(m.filter("i = j").select("i"), "i").select("i", F.col("j").alias("node")), "held")
+    # attractors that hold the same node are one system: the smallest of them stands for all
+    names = held.select("i").distinct().withColumn("cluster", F.col("i"))
+    while True:
+        names = ws.save(names, "names")
+        of_node = held.join(names, "i").groupBy("node").agg(F.min("cluster").alias("cluster"))
+        lower = held.join(of_node, "node").groupBy("i").agg(F.min("cluster").alias("lower"))
+        after = ws.save(names.join(lower, "i").select("i", F.least("cluster", "lower").alias("cluster"), (F.col("lower") < F.col("cluster")).alias("moved")), "names")
+        if not after.filter("moved").limit(1).count():
+            return of_node
+        names = after.drop("moved")
 
 
 def spectral_clusters(edges: DataFrame, k: int, rounds: int = 10) -> DataFrame:
@@ -124,6 +133,57 @@ def expand_levels(links: DataFrame, starts: DataFrame, most: int | None = None)
     return seen
 
 
+def directed_levels(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """links(kind, tree, a, b), starts(kind, tree, node) -> (kind, tree, node, level): each node's first level from any start of its kind and tree along the links.
+
+    All kinds advance in the same rounds, until none finds a new node; links of a kind name its direction.
+    """
+    ws = Workspace(links.sparkSession, "levels")
+    at = ["kind", "tree", "node"]
+    links = ws.save(links.distinct(), "links")
+    front = ws.save(starts.select(*at).distinct().withColumn("level", F.lit(0)), "front")
+    seen = front
+    for k in itertools.count(1):
+        step = links.join(front.select("kind", "tree", F.col("node").alias("a")), ["kind", "tree", "a"]).select("kind", "tree", F.col("b").alias("node")).distinct()
+        front = ws.save(step.join(seen, at, "left_anti").withColumn("level", F.lit(k)), "front")
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front)
+        if k % 8 == 0:  # many small tables would have to be read in every round
+            seen = ws.save(seen.coalesce(max(1, links.sparkSession.sparkContext.defaultParallelism)), "seen")
+
+
+def node_roles(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(tree, node), links(tree, parent, child) -> degrees, ends, shortest distances from a root and a leaf, and the penalty of leaving the node out.
+
+    The penalty is a link to each parent and two for each child. Nodes that no root or leaf reaches, as on a cycle, have null distances; loops don't count.
+    """
+    k = links.filter("parent <> child").distinct()
+    ends = journal_ends(nodes, k)
+    kind = lambda n, a, b: k.select(F.lit(n).alias("kind"), "tree", F.col(a).alias("a"), F.col(b).alias("b"))
+    starts = ends.filter("is_root").select(F.lit("down").alias("kind"), "tree", "node").unionByName(ends.filter("is_leaf").select(F.lit("up").alias("kind"), "tree", "node"))
+    levels = directed_levels(kind("down", "parent", "child").unionByName(kind("up", "child", "parent")), starts)
+    far = levels.groupBy("tree", "node").agg(F.min(F.when(F.col("kind") == "down", F.col("level"))).alias("from_root"), F.min(F.when(F.col("kind") == "up", F.col("level"))).alias("from_leaf"))
+    out = ends.join(far, ["tree", "node"], "left").withColumnsRenamed({"n_parents": "degree_in", "n_children": "degree_out"})
+    share = (F.col("from_root") + 1) / (F.col("from_root") + F.col("from_leaf") + 1)
+    return out.withColumns({"root_share": share, "penalty": F.col("degree_in") + 2 * F.col("degree_out")})
+
+
+def paths_to_leaves(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(tree, node), links(tree, parent, child) -> (tree, path ARRAY): every simple path from a root to a node without children."""
+    ws = Workspace(nodes.sparkSession, "paths")
+    k = ws.save(links.distinct(), "links")
+    ends = ws.save(journal_ends(nodes, k), "ends")
+    leaves = ends.filter("is_leaf").select("tree", "node")
+    front = ws.save(ends.filter("is_root").select("tree", "node", F.array("node").alias("path")), "front")
+    out = front.join(leaves, ["tree", "node"], "left_semi")
+    while front.limit(1).count():
+        longer = front.join(k.select("tree", F.col("parent").alias("node"), "child"), ["tree", "node"]).filter(~F.array_contains("path", F.col("child")))
+        front = ws.save(longer.select("tree", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path")), "front")
+        out = out.unionByName(front.join(leaves, ["tree", "node"], "left_semi"))
+    return out.select("tree", "path")
+
+
 def journal_ends(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes(tree, node), links(tree, parent, child) -> (tree, node, n_parents, n_children, is_root, is_leaf); repeated links count once."""
     k = links.distinct()

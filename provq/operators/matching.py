@@ -5,12 +5,50 @@ Nearest features are (probe_id, image_id, q_feature, feature_id, dist, nth), as
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provq.functions import vectors as V
+from provq.runtime import Workspace
+
 PAIR = ("probe_id", "image_id")
 
 
+def pair_distances(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
+    """pairs(probe_id, image_id), queries(probe_id, q_feature, v), base(image_id, feature_id, v) -> (probe_id, image_id, q_feature, feature_id, dist).
+
+    Only features of images that a probe is paired with are compared. Both joins are plain ones, so adaptive execution splits an image with very many features.
+    """
+    q = pairs.select(*PAIR).join(queries.select("probe_id", "q_feature", F.col("v").alias("qv")), "probe_id")
+    return q.join(base.select("image_id", "feature_id", "v"), "image_id").select(*PAIR, "q_feature", "feature_id", (V.unit_distance(F.col("qv"), F.col("v")) + 0.0).alias("dist"))
+
+
+def nearest_in_pair(distances: DataFrame, n: int) -> DataFrame:
+    """Adds nth: the n nearest features of each query feature and image, equal distances by feature_id."""
+    nth = F.row_number().over(Window.partitionBy(*PAIR, "q_feature").orderBy("dist", "feature_id"))
+    return distances.withColumn("nth", nth).filter(F.col("nth") <= n)
+
+
+def mutual_in_pair(distances: DataFrame) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist): features that are each other's nearest in the pair of images; combined map-side."""
+    forth = distances.groupBy(*PAIR, "q_feature").agg(F.min(F.struct("dist", "feature_id")).alias("s")).select(*PAIR, "q_feature", "s.feature_id", "s.dist")
+    back = distances.groupBy(*PAIR, "feature_id").agg(F.min(F.struct("dist", "q_feature")).alias("s")).select(*PAIR, "feature_id", "s.q_feature")
+    return forth.join(back, [*PAIR, "q_feature", "feature_id"], "left_semi")
+
+
+def one_to_one(matches: DataFrame) -> DataFrame:
+    """Of the matches of one feature of an image only the nearest (ties: the smaller query feature)."""
+    nth = F.row_number().over(Window.partitionBy(*PAIR, "feature_id").orderBy("dist", "q_feature"))
+    return matches.withColumn("nth", nth).filter("nth = 1").drop("nth")
+
+
+def pair_stats(matches: DataFrame) -> DataFrame:
+    """(probe_id, image_id, kp_count, avg_dist): the adjacency of a probe's images by their matches."""
+    return matches.groupBy(*PAIR).agg(F.count("*").alias("kp_count"), F.avg("dist").alias("avg_dist"))
+
+
 def ratio_test(nearest: DataFrame, most: float = 0.8) -> DataFrame:
     """(probe_id, image_id, q_feature, feature_id, dist, ratio): nearest features that are clearly nearer than the second nearest of their image.
 
@@ -62,6 +100,58 @@ def within_radius(points: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["group_id", "cx", "cy"]).filter("a < b").withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select("group_id", "a", "b", "d2")
 
 
+def spaced_points(points: DataFrame, radius: float) -> DataFrame:
+    """points(group_id, id, x, y, score) -> (group_id, id): points taken by falling score (ties: the smaller id), none within the radius of one taken before.
+
+    Rounds of whole tables give the same points as going through them one by one: a point without a better undecided neighbour is taken and its
+    neighbours go, until all are decided.
+    """
+    ws = Workspace(points.sparkSession, "spaced")
+    points = ws.save(points, "points")
+    rank = points.select("group_id", "id", F.struct(F.col("score"), (-F.col("id")).alias("m")).alias("p"))
+    near = within_radius(points, radius).select("group_id", "a", "b")
+    near = near.join(rank.withColumnsRenamed({"id": "a", "p": "pa"}), ["group_id", "a"]).join(rank.withColumnsRenamed({"id": "b", "p": "pb"}), ["group_id", "b"])
+    # (better, worse) of each pair
+    near = ws.save(near.select("group_id", F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("pa") > F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("worse")), "near")
+    left, taken = points.select("group_id", "id"), points.select("group_id", "id").limit(0)
+    while near.limit(1).count():
+        free = ws.save(left.join(near.select("group_id", F.col("worse").alias("id")).distinct(), ["group_id", "id"], "left_anti"), "free")
+        gone = ws.save(near.join(free.withColumnRenamed("id", "better"), ["group_id", "better"], "left_semi").select("group_id", F.col("worse").alias("id")).distinct(), "gone")
+        taken = taken.unionByName(free)
+        left = ws.save(left.join(free, ["group_id", "id"], "left_anti").join(gone, ["group_id", "id"], "left_anti"), "left")
+        for end in ("better", "worse"):
+            near = near.join(left.withColumnRenamed("id", end), ["group_id", end], "left_semi")
+        near = ws.save(near, "near")
+    return taken.unionByName(left)
+
+
+def affine_fit(matches: DataFrame, at_least: int = 3) -> DataFrame:
+    """matches(probe_id, image_id, qx, qy, x, y) -> (probe_id, image_id, n, a11, a12, a13, a21, a22, a23, rcond): least squares of x = a11 qx + a12 qy + a13 and y alike.
+
+    The sums of the equations are taken map-side, so a pair is one row when it is solved. rcond is the reciprocal condition of the
+    3 x 3 matrix in the maximum-row norm; 0, with null coefficients, where it can't be solved (points on a line).
+    """
+    terms = {"qx": F.col("qx"), "qy": F.col("qy"), "one": F.lit(1.0)}
+    sums = [F.sum(a * b).alias(f"s_{i}_{j}") for i, a in terms.items() for j, b in terms.items() if i <= j]
+    sums += [F.sum(a * F.col(t)).alias(f"t_{i}_{t}") for i, a in terms.items() for t in ("x", "y")]
+    rows = matches.groupBy(*PAIR).agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= at_least)
+    names = list(terms)
+
+    def solve(batches):
+        for b in batches:
+            m = np.stack([np.stack([b[f"s_{min(i, j)}_{max(i, j)}"] for j in names], 1) for i in names], 1)
+            r = np.stack([np.stack([b[f"t_{i}_{t}"] for t in ("x", "y")], 1) for i in names], 1)
+            ok = np.abs(np.linalg.det(m)) > 1e-9
+            inverse = np.full(m.shape, np.nan)
+            inverse[ok] = np.linalg.inv(m[ok])
+            norm = lambda v: np.abs(v).sum(2).max(1)
+            c = inverse @ r
+            out = {"probe_id": b["probe_id"], "image_id": b["image_id"], "n": b["n"]} | {f"a{t + 1}{i + 1}": pd.Series(c[:, i, t], index=b.index).astype("Float64") for t in (0, 1) for i in range(3)}
+            yield pd.DataFrame(out | {"rcond": np.where(ok, 1 / (norm(m) * np.where(ok, norm(inverse), 1)), 0.0)})
+
+    return rows.mapInPandas(solve, "probe_id bigint, image_id bigint, n bigint, a11 double, a12 double, a13 double, a21 double, a22 double, a23 double, rcond double")
+
+
 def expansion_pairs(members: DataFrame) -> DataFrame:
     """members(group_id, item, is_target) -> (group_id, i, j): i differs from j, and is no target or comes first.
 

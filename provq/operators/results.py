@@ -35,6 +35,13 @@ def min_max(merged: DataFrame, group: str) -> DataFrame:
     return merged.withColumn("score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(0.0))
 
 
+def clipped(merged: DataFrame, group: str, deviations: float) -> DataFrame:
+    """Scores clipped to that many deviations around their group's mean."""
+    over = Window.partitionBy(group)
+    mean, room = F.avg("score").over(over), F.stddev_pop("score").over(over) * deviations
+    return merged.withColumn("score", F.least(F.greatest("score", mean - room), mean + room))
+
+
 def first(merged: DataFrame, group: str, item: str, n: int) -> DataFrame:
     """The n best items of each group with their rank; equal scores by item."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), item))

@@ -128,3 +128,40 @@ def densest_cell(points: DataFrame, size: float) -> DataFrame:
     n = p.groupBy("image_id", "grid", "xb", "yb").agg(F.count("*").alias("n"))
     order = Window.partitionBy("image_id").orderBy(F.col("n").desc(), "grid", "xb", "yb")
     return n.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+
+
+def merged_tally(parts: list[DataFrame], k: int) -> DataFrame:
+    """(probe_id, image_id, score): hits of several parts of an index in one order by distance, cut to one and a half times k a query, and tallied."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    nth = F.row_number().over(Window.partitionBy("q_feature").orderBy("dist", "feature_id"))
+    return tally(both.withColumn("nth", nth).filter(F.col("nth") <= k + k // 2)).drop("n_votes")
+
+
+def object_scores(hits: DataFrame, least: float, n: int) -> DataFrame:
+    """hits with an object -> (probe_id, object, image_id, score, n_features, rank): the n best images of each object whose best score is above ``least``."""
+    t = usable_hits(hits).groupBy("probe_id", "object", "image_id").agg(F.round(F.sum(1 / (1 + F.col("dist"))), 6).alias("score"), F.count_distinct("q_feature").alias("n_features"))
+    over = Window.partitionBy("probe_id", "object")
+    ranked = t.withColumns({"rank": F.row_number().over(over.orderBy(F.col("score").desc(), "image_id")), "top": F.max("score").over(over)})
+    return ranked.filter((F.col("rank") <= n) & (F.col("top") > least)).drop("top")
+
+
+def in_bounds() -> Column:
+    """True for a vote that falls into its image."""
+    return (F.col("vx") >= 0) & (F.col("vx") < F.col("width")) & (F.col("vy") >= 0) & (F.col("vy") < F.col("height"))
+
+
+def winning_votes(hits: DataFrame) -> DataFrame:
+    """The votes of each image's fullest bin (equal ones: the earlier grid, then the larger bin)."""
+    votes = voted_bins(hits)
+    bins = votes.groupBy(*PAIR, "grid", "xb", "yb").agg(F.count("*").alias("members"))
+    order = Window.partitionBy(*PAIR).orderBy(F.col("members").desc(), "grid", F.col("xb").desc(), F.col("yb").desc())
+    return votes.join(bins.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth"), [*PAIR, "grid", "xb", "yb"])
+
+
+def coherence(hits: DataFrame) -> DataFrame:
+    """(probe_id, image_id, n, angle_coherence, point_coherence) of the winning votes: how little their turns and places spread."""
+    turn = F.pmod(F.col("angle") - F.col("q_angle"), F.lit(360.0))
+    spread = F.stddev_pop("vx") + F.stddev_pop("vy")
+    return winning_votes(hits).groupBy(*PAIR).agg(F.count("*").alias("n"), (1 / (1 + F.stddev_pop(turn) / F.count("*"))).alias("angle_coherence"), (1 / (1 + F.pow(spread, F.lit(0.125)) / 2)).alias("point_coherence"))

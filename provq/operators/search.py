@@ -71,6 +71,12 @@ def fuse(shards: list[DataFrame]) -> DataFrame:
     return ranked(out, None)
 
 
+def flip_augmented(rows: DataFrame, mirrored: DataFrame) -> DataFrame:
+    """rows and mirrored (feature_id, image_id, v) -> (q, feature_id, image_id, v, flipped): both sets as queries with numbers of their own."""
+    both = rows.withColumn("flipped", F.lit(False)).unionByName(mirrored.withColumn("flipped", F.lit(True)))
+    return both.withColumn("q", F.col("feature_id") * 2 + F.col("flipped").cast("int"))
+
+
 def train_cells(base: DataFrame, cells: int, *, sample_rows: int = 100_000, seed: int = 15) -> list[list[float]]:
     """Centroids by k-means on a bounded sample of the vectors (v)."""
     from pyspark.ml.clustering import KMeans
@@ -221,4 +227,4 @@ def nearest_per_image(queries: DataFrame, base: DataFrame, n: int) -> DataFrame:
     return top.withColumn("nth", nth).filter(F.col("nth") <= n)
 
 
-__all__ = ["assign_cells", "choose_nprobe", "exact_knn", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "product_codes", "ranked", "train_cells", "train_projection"]
+__all__ = ["assign_cells", "choose_nprobe", "exact_knn", "flip_augmented", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "product_codes", "ranked", "train_cells", "train_projection"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provq.functions import vectors as V
-from provq.operators import search
-from provq.runtime import is_finite, table
+from provq.operators import graph, matching, search
+from provq.runtime import Workspace, is_finite, table
 
 #: Hits of a query feature.
 K = 20
@@ -43,21 +43,16 @@ def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return hits(spark, sf_dir, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
-def pair_matches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(probe_id, image_id, q_feature, feature_id, dist, nth): each probe feature's n nearest in each other image that the probe hits."""
-    feat = features(spark, sf_dir)
-    q = queries_of(feat)
-    pairs = hits(spark, sf_dir).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
-    near = search.nearest_per_image(q.select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "image_id", "v"), n).withColumnRenamed("q", "q_feature")
-    return near.join(q.select(F.col("feature_id").alias("q_feature"), F.col("image_id").alias("probe_id")), "q_feature").join(pairs, ["probe_id", "image_id"], "left_semi")
-
-
-def nearest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(probe_id, feature_id, q_feature): of each probe, the feature nearest to each feature."""
-    feat = features(spark, sf_dir)
+def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist): all features of a probe against those of each other image that it hits."""
+    ws = Workspace(spark, "pairs")
+    feat = ws.save(features(spark, sf_dir).select("feature_id", "image_id", "v"), "features")
     q = queries_of(feat)
-    near = search.nearest_per_image(feat.select(F.col("feature_id").alias("q"), "v"), q.select("feature_id", "image_id", "v"), 1)
-    return near.select(F.col("image_id").alias("probe_id"), F.col("q").alias("feature_id"), F.col("feature_id").alias("q_feature"))
+    top = search.exact_knn(q.select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), K)
+    hit = top.select("q", "feature_id").join(feat.select("feature_id", "image_id"), "feature_id").join(q.select(F.col("feature_id").alias("q"), F.col("image_id").alias("probe_id")), "q")
+    pairs = hit.filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
+    d = matching.pair_distances(pairs, q.select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat)
+    return ws.save(d, "distances")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +68,25 @@ def ranked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "file"))).drop("score")
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(probe_id, file): the files of the journal that a probe belongs to, the first journal that has its best-ranked file."""
+def truth(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
+    """(probe_id, file): the files of the journal that a probe belongs to, the first journal that has its best-ranked file.
+
+    among: the files (journal_id, file) that are asked for, where not all.
+    """
     nodes = table(spark, sf_dir, "gt_journal_nodes").filter("file is not null").select("journal_id", "file").distinct()
     first = ranked_files(spark, sf_dir).join(nodes, "file").groupBy("probe_id").agg(F.min(F.struct("rank", "journal_id"))["journal_id"].alias("journal_id"))
-    return first.join(nodes, "journal_id").select("probe_id", "file")
+    return first.join(nodes if among is None else among, "journal_id").select("probe_id", "file")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from provq.operators import graph
+def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree, node): the nodes of journals that have a donor link at or below them."""
+    _, k = journal(spark, sf_dir)
+    starts = k.filter(F.lower(F.trim("op")) == "donor").select(F.lit("up").alias("kind"), "tree", F.col("parent").alias("node"))
+    up = k.select(F.lit("up").alias("kind"), "tree", F.col("child").alias("a"), F.col("parent").alias("b"))
+    return graph.directed_levels(up, starts).select("tree", "node")
 
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.affinity(table(spark, sf_dir, "graph_links"), "source", "target", "relationshipConfidenceScore")
 
 
