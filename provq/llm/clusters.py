@@ -1,15 +1,19 @@
 """Grouping records into clusters of mutually similar records.
 
 Method: reciprocal-nearest-neighbour average linkage on a sparse graph. Every record starts as a cluster; the candidates for merging are the
-edges of a nearest-neighbour graph (``neighbors.nearest``). In each round the average linkage of every candidate pair is computed exactly
+edges of a nearest-neighbour graph (``neighbors.nearest``). In each round the average linkage of the candidate pairs is computed exactly
 from the two clusters' sums of unit vectors (the mean of all cosines between A and B is sum(A).sum(B) / (|A| |B|)), every cluster names
 its best partner, and all pairs that name each other merge at once. Pairs below the threshold are dropped for good, as average
-linkage cannot rise by merging. When no candidates are left, a new graph over the clusters' means looks for pairs that the
-first missed; the work ends when it finds none. No pairs within a cluster are formed beyond k a record.
+linkage cannot rise by merging. No pairs within a cluster are formed beyond k a record.
 
-Rounds of one connected part of the graph don't depend on other parts, so parts (found by ``components.groups``) are packed into tasks of a
-bounded number of clusters and all their rounds run there. A part larger than a task is cut at random into blocks that merge within
-themselves; the next graph, over far fewer clusters, is cut elsewhere.
+*What the graph doesn't hold.* A list of k neighbours that is full bounds the similarity to all others by its last entry. A cluster carries the mean
+of its records' bounds, and merges only above it; what is left then gets new lists over the clusters' means, twice as long.
+So the merges are those of average linkage over all pairs, not only over the listed ones.
+
+*Tasks.* While more clusters are left than one task takes, they are dealt into blocks by their best partners, so that pairs that name each other
+meet. A block merges all pairs of its own that are each other's best over all their edges; of a partner elsewhere it knows an upper bound of the linkage,
+which further merges there can only lower (average linkage is reducible), so every such merge is one of the whole graph, whatever the size of a
+block. Then ends are renamed, the bounds of both sides united (the lower one holds), and the rest is dealt anew. The last clusters go through all rounds in one task.
 """
 
 from __future__ import annotations
@@ -27,46 +31,78 @@ from provq.runtime import Workspace
 #: Scale of the fixed-point sums, which don't depend on the order of rows.
 SCALE = float(1 << 30)
 #: Clusters whose rounds run in one task.
-TASK_CLUSTERS = 20_000
-#: Passes in a row without a merge after which the search ends.
-MOST_IDLE = 8
+TASK_CLUSTERS = 50_000
+#: Places to which linkages are compared, so that equal ones are equal whatever the order of the sums.
+PLACES = 9
+#: Room for the search's single precision: what it says of linkages is only a bound, the linkages themselves are computed in double precision.
+ROOM = 1e-6
+#: Files whose sums a task holds at once.
+HELD_FILES = 50_000
+
+
+def _summed(codes: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes that occur, their sums and counts."""
+    o = np.argsort(codes, kind="stable")
+    heads = np.flatnonzero(np.r_[True, codes[o][1:] != codes[o][:-1]])
+    return codes[o][heads], np.add.reduceat(x[o], heads, axis=0), np.add.reduceat(n[o], heads)
+
 
+def _partial_sums(dim: int):
+    """Sums of unit vectors by file over a task, handed on when too many files are held; sums of one row stay small, as 32-bit integers."""
 
-def _sums(dim: int, final: bool):
-    """Partial sums of unit vectors by file over a whole partition; few rows of a file stay small, as 32-bit integers."""
+    def flush(names: list[str], total: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(names), 10_000):
+            part, n = total[s : s + 10_000], count[s : s + 10_000]
+            raw = [(p.astype(np.int32) if k == 1 else p).tobytes() for p, k in zip(part, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[s : s + 10_000], pa.string()), pa.array(raw, pa.binary()), pa.array(n)], ["file", "sums", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        total, count = np.zeros((1024, dim), np.int64), np.zeros(1024, np.int64)
+        place: dict[str, int] = {}
+        total, count = np.zeros((HELD_FILES, dim), np.int64), np.zeros(HELD_FILES, np.int64)
+        for b in (whole.slice(i, HELD_FILES) for whole in batches for i in range(0, whole.num_rows, HELD_FILES)):
+            named = b.column(0).dictionary_encode()
+            if len(place) + len(named.dictionary) > HELD_FILES:
+                yield from flush(list(place), total[: len(place)], count[: len(place)])
+                place.clear()
+                total[:], count[:] = 0, 0
+            at = np.array([place.setdefault(f, len(place)) for f in named.dictionary.to_pylist()])
+            x = np.rint(neighbors.unit(neighbors._values(b.column(1)), dim) * SCALE).astype(np.int64)
+            codes, sums, n = _summed(at[named.indices.to_numpy()], x, np.ones(len(x), np.int64))
+            total[codes] += sums
+            count[codes] += n
+        yield from flush(list(place), total[: len(place)], count[: len(place)])
+
+    return run
+
+
+def _means(dim: int):
+    """Partial sums, sorted by file -> each file's mean, scaled to length 1. A file may go on in the next batch."""
+
+    def means(names: pa.Array, total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        mean = total / SCALE
+        norm = np.sqrt(np.einsum("ij,ij->i", mean, mean))
+        mean = mean / np.where(norm > 0, norm, 1)[:, None]
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, mean.size + 1, dim), pa.int32()), pa.array(mean.ravel()))
+        return pa.RecordBatch.from_arrays([names, values, pa.array(count)], ["file", "vec", "n_vectors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            code = np.array([names.setdefault(f, len(names)) for f in b.column(0).to_pylist()])
-            while len(names) > len(total):
-                total, count = np.concatenate([total, np.zeros_like(total)]), np.concatenate([count, np.zeros_like(count)])
-            if final:
-                raw = b.column(1).to_pylist()
-                x = np.stack([np.frombuffer(r, np.int32 if len(r) == dim * 4 else np.int64).astype(np.int64) for r in raw])
-                n = b.column(2).to_numpy()
-            else:
-                x = np.rint(neighbors.unit(neighbors._values(b.column(1)), dim) * SCALE).astype(np.int64)
-                n = np.ones(len(x), np.int64)
-            o = np.argsort(code, kind="stable")
-            heads = np.flatnonzero(np.r_[True, code[o][1:] != code[o][:-1]])
-            total[code[o][heads]] += np.add.reduceat(x[o], heads, axis=0)
-            count[code[o][heads]] += np.add.reduceat(n[o], heads)
-        files = list(names)
-        for s in range(0, len(files), 10_000):
-            part, n = total[s : s + 10_000][: len(files) - s], count[s : s + 10_000][: len(files) - s]
-            if final:
-                mean = part / SCALE
-                norm = np.sqrt(np.einsum("ij,ij->i", mean, mean))
-                mean = mean / np.where(norm > 0, norm, 1)[:, None]
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, mean.size + 1, dim), pa.int32()), pa.array(mean.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(files[s : s + 10_000], pa.string()), values, pa.array(n)], ["file", "vec", "n_vectors"])
-            else:
-                raw = [(p.astype(np.int32) if k == 1 else p).tobytes() for p, k in zip(part, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(files[s : s + 10_000], pa.string()), pa.array(raw, pa.binary()), pa.array(n)], ["file", "sums", "n"])
+            raw = b.column(1).to_pylist()
+            x = np.stack([np.frombuffer(r, np.int32 if len(r) == dim * 4 else np.int64).astype(np.int64) for r in raw])
+            n, files = b.column(2).to_numpy(), b.column(0)
+            if last is not None:
+                files = pa.concat_arrays([pa.array([last[0]], pa.string()), files])
+                x, n = np.concatenate([last[1][None], x]), np.concatenate([[last[2]], n])
+            named = files.dictionary_encode()
+            codes, total, count = _summed(named.indices.to_numpy(), x, n)
+            last = (named.dictionary[-1].as_py(), total[-1], count[-1])
+            if len(codes) > 1:
+                yield means(named.dictionary.slice(0, len(codes) - 1), total[:-1], count[:-1])
+        if last is not None:
+            yield means(pa.array([last[0]], pa.string()), last[1][None], np.array([last[2]]))
 
     return run
 
@@ -80,50 +116,95 @@ def file_vectors(rows: DataFrame, *, key: str = "feature_id", file: str = "file"
     u = rows.select(F.col(key).alias("id"), F.col(file).alias("file"), F.col(vector).cast("array<float>").alias("vec"), F.col(order).alias("at"))
     u = u.filter(F.col("id").isNotNull() & neighbors.usable(F.col("vec"), dim))
     once = u.groupBy("id").agg(F.min(F.struct("at", F.xxhash64("vec").alias("h"), "file", "vec")).alias("r")).select("r.file", "r.vec").filter("file is not null")
-    part = once.mapInArrow(_sums(dim, False), "file string, sums binary, n bigint")
-    return part.repartition("file").mapInArrow(_sums(dim, True), "file string, vec array<double>, n_vectors bigint")
+    part = once.mapInArrow(_partial_sums(dim), "file string, sums binary, n bigint")
+    return part.repartition("file").sortWithinPartitions("file").mapInArrow(_means(dim), "file string, vec array<double>, n_vectors bigint")
 
 
 _DOT = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (t, x) -> t + x)"
 
 
-def merge_rounds(n: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """The cluster that each cluster ends in, by place; sizes n and sums s are brought up to date at those places.
+class _Block:
+    """Clusters of one task with their edges, and the rounds over them.
 
-    a, b: candidate pairs. Equal linkages go by the smaller place.
+    ids: of the clusters, ascending, then of partners elsewhere. n, s, spare: sizes, sums, and by how much the bound of what isn't listed is above
+    ``least``. a, b: candidate pairs within the block. x, g, e: pairs with partners elsewhere, e the size times the linkage's excess over the bound, which
+    adds up when clusters merge. Equal linkages go by the smaller pair of ids.
     """
-    root = np.arange(len(n))
-    sim = np.empty(len(a))
-    stale = np.ones(len(a), bool)
-    while len(a):
-        for i in np.array_split(np.flatnonzero(stale), max(1, stale.sum() // 50_000)):
-            sim[i] = np.einsum("ij,ij->i", s[a[i]], s[b[i]]) / (n[a[i]] * n[b[i]])
-        ok = sim >= least
-        a, b, sim = a[ok], b[ok], sim[ok]
-        if not len(a):
-            break
-        own, other, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
-        o = np.lexsort((other, -value, own))
+
+    def __init__(self, ids, n, s, spare, least, a, b, x, g, e):
+        self.ids, self.n, self.s, self.spare, self.least, self.a, self.b, self.x, self.g, self.e = ids, n, s, spare, least, a, b, x, g, e
+        self.root = np.arange(len(n))
+        self.sim, self.stale = np.empty(len(a)), np.ones(len(a), bool)
+
+    def linkages(self) -> np.ndarray:
+        """Exact linkages of the pairs within the block; those below the threshold go. Returns which stayed."""
+        a, b = self.a, self.b
+        for i in np.array_split(np.flatnonzero(self.stale), max(1, self.stale.sum() // 50_000)):
+            self.sim[i] = np.einsum("ij,ij->i", self.s[a[i]], self.s[b[i]]) / (self.n[a[i]] * self.n[b[i]])
+        ok = self.sim >= self.least
+        self.a, self.b, self.sim, self.stale = a[ok], b[ok], self.sim[ok], np.zeros(ok.sum(), bool)
+        return ok
+
+    def elsewhere(self) -> np.ndarray:
+        """Upper bounds of the linkages with partners elsewhere."""
+        return self.least + self.spare[self.x] + self.e / self.n[self.x]
+
+    def round(self) -> bool:
+        self.linkages()
+        bound = self.elsewhere()
+        out = bound >= self.least
+        own, other = np.concatenate([self.a, self.b, self.x[out]]), np.concatenate([self.b, self.a, self.g[out]])
+        if not len(own):
+            return False
+        value = np.round(np.concatenate([self.sim, self.sim, bound[out]]), PLACES)
+        o = np.lexsort((self.ids[other], -value, own))
         first = o[np.r_[True, own[o][1:] != own[o][:-1]]]
-        best = np.full(len(n), -1)
-        best[own[first]] = other[first]
+        best, top = np.full(len(self.ids), -1), np.zeros(len(self.n))
+        best[own[first]], top[own[first]] = other[first], value[first]
         x = own[first]
-        x = x[(best[best[x]] == x) & (x < best[x])]
+        x = x[(x < best[x]) & (best[best[x]] == x)]
         y = best[x]
-        s[x] += s[y]
-        n[x] += n[y]
-        root[y] = x
-        changed = np.zeros(len(n), bool)
+        sure = top[x] >= np.round(self.least + np.maximum(self.spare[x], self.spare[y]), PLACES)
+        x, y = x[sure], y[sure]
+        if not len(x):
+            return False
+        n = self.n[x] + self.n[y]
+        self.spare[x] = (self.n[x] * self.spare[x] + self.n[y] * self.spare[y]) / n
+        self.s[x] += self.s[y]
+        self.n[x] = n
+        self.root[y] = x
+        changed = np.zeros(len(self.n), bool)
         changed[x] = changed[y] = True
-        stale = changed[a] | changed[b]
-        a, b = root[a], root[b]
+        self.stale = changed[self.a] | changed[self.b]
+        a, b = self.root[self.a], self.root[self.b]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        _, keep = np.unique(lo * len(n) + hi, return_index=True)
+        _, keep = np.unique(lo * len(self.n) + hi, return_index=True)
         keep = keep[lo[keep] != hi[keep]]
-        a, b, sim, stale = lo[keep], hi[keep], sim[keep], stale[keep]
-    while (root[root] != root).any():
-        root = root[root]
-    return root
+        self.a, self.b, self.sim, self.stale = lo[keep], hi[keep], self.sim[keep], self.stale[keep]
+        pair, at = np.unique(self.root[self.x] * len(self.ids) + self.g, return_inverse=True)
+        self.x, self.g, self.e = pair // len(self.ids), pair % len(self.ids), np.bincount(at, weights=self.e, minlength=len(pair))
+        return True
+
+    def run(self) -> None:
+        while self.round():
+            pass
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+
+
+def merge_rounds(n: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """The cluster that each cluster ends in, by place; sizes n and sums s are brought up to date at those places.
+
+    a, b: candidate pairs, all that there are. Equal linkages go by the smaller pair of places.
+    """
+    none = np.empty(0, np.int64)
+    block = _Block(np.arange(len(n)), n, s, np.zeros(len(n)), least, a, b, none, none, np.empty(0))
+    block.run()
+    return block.root
+
+
+#: Rows of a block: kind 0 a cluster c and its root, with the root's size, sums and spare bound where c is the root; 1 an edge; 2 merges and edges that became exact.
+_ROWS = "kind tinyint, a bigint, b bigint, n bigint, s array<double>, spare double, sim double, grown boolean"
 
 
 def _merge_task(least: float, dim: int):
@@ -134,32 +215,89 @@ def _merge_task(least: float, dim: int):
         c = nodes.column("a").to_numpy()
         order = np.argsort(c)
         c = c[order]
-        n = nodes.column("n").to_numpy()[order].copy()
+        m = len(c)
+        n, spare = (nodes.column(k).to_numpy()[order].copy() for k in ("n", "spare"))
         s = nodes.column("s").combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
-        a, b = (np.searchsorted(c, edges.column(k).to_numpy()) for k in ("a", "b"))
-        root = merge_rounds(n, s, a, b, least)
-        top = root == np.arange(len(c))
-        sums = pa.array([s[i] if k else None for i, k in enumerate(top)], pa.list_(pa.float64()))
-        return pa.table({"c": c, "root": c[root], "n": pa.array(n), "s": sums})
+        own, other, sim = (edges.column(k).to_numpy() for k in ("a", "b", "sim"))
+        x = np.searchsorted(c, own)
+        at = np.minimum(np.searchsorted(c, other), m - 1)
+        here = c[at] == other
+        ghosts, g = np.unique(other[~here], return_inverse=True)
+        once = here & (own < other)
+        e = n[x[~here]] * (sim[~here] - least - spare[x[~here]])
+        block = _Block(np.concatenate([c, ghosts]), n, s, spare, least, x[once], at[once], x[~here], m + g, e)
+        before = sim[once]
+        could = before >= np.round(least + np.maximum(spare[x[once]], spare[at[once]]), PLACES) - 10.0**-PLACES  # which could merge, as far as was known
+        stayed = block.linkages()
+        lower = ~stayed
+        lower[stayed] = block.sim < before[stayed] - 10.0**-PLACES
+        tighter = int((could & lower).sum())
+        block.run()
+        root = block.root
+        top = root == np.arange(m)
+        grown = np.bincount(root, minlength=m) > 1
+        a = np.concatenate([block.a, block.b, block.x])
+        b = np.concatenate([block.b, block.a, block.g])
+        sims = np.concatenate([block.sim, block.sim, block.elsewhere()])
+        k = len(a)
+        none = lambda size, kind: pa.nulls(size, kind)
+        return pa.table({
+            "kind": pa.array(np.concatenate([np.zeros(m), np.ones(k), [2]]).astype(np.int8)),
+            "a": pa.array(np.concatenate([c, c[a], [0]])),
+            "b": pa.array(np.concatenate([c[root], block.ids[b], [0]])),
+            "n": pa.chunked_array([pa.array(n), none(k, pa.int64()), pa.array([int((~top).sum()) + tighter])]),
+            "s": pa.chunked_array([pa.array([s[i] if r else None for i, r in enumerate(top)], pa.list_(pa.float64())), none(k + 1, pa.list_(pa.float64()))]),
+            "spare": pa.array(np.concatenate([spare, spare[a], [0.0]])),
+            "sim": pa.chunked_array([none(m, pa.float64()), pa.array(sims), none(1, pa.float64())]),
+            "grown": pa.chunked_array([pa.array(grown[root]), none(k + 1, pa.bool_())]),
+        })
 
     return run
 
 
-def _pass(ws: Workspace, state: DataFrame, edges: DataFrame, least: float, dim: int, turn: int, task_clusters: int) -> DataFrame:
-    """(c, root, n, s) of all clusters that have a candidate; n and s hold where c is root."""
-    part = ws.save(components.groups(edges, source="a", target="b", score=None), "parts")
-    large = part.groupBy("group_id").agg(F.count("*").alias("clusters")).filter(F.col("clusters") > task_clusters)
-    large = ws.save(large.select("group_id", F.ceil(F.col("clusters") / task_clusters).cast("int").alias("blocks")), "large")
-    # at most one row for each task_clusters clusters
-    block = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("record", F.lit(turn)), F.col("blocks"))).otherwise(F.lit(0))
-    part = ws.save(part.join(F.broadcast(large), "group_id", "left").select("record", F.xxhash64("group_id", block).alias("unit")), "units")
-    tasks = max(1, -(-part.count() // task_clusters))
-    bucket = lambda u: F.pmod(F.col(u), F.lit(tasks)).cast("int").alias("bucket")
-    nodes = state.join(part.withColumnRenamed("record", "c"), "c").select(bucket("unit"), F.col("c").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "s")
-    at = edges.join(part.withColumnsRenamed({"record": "a", "unit": "ua"}), "a").join(part.withColumnsRenamed({"record": "b", "unit": "ub"}), "b").filter("ua = ub")
-    at = at.select(bucket("ua"), "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("s"))
-    rows = nodes.unionByName(at).repartition(tasks, "bucket")
-    return ws.save(rows.groupBy("bucket").applyInArrow(_merge_task(least, dim), "c bigint, root bigint, n bigint, s array<double>"), "merged")
+def _blocks(ws: Workspace, directed: DataFrame, clusters: int, task_clusters: int) -> DataFrame:
+    """(c, block): clusters dealt so that those that name each other meet, mostly with those that name one of them."""
+    best = directed.groupBy(F.col("a").alias("c")).agg(F.min(F.struct((-F.round("sim", PLACES)).alias("v"), "b"))["b"].alias("best"))
+    best = ws.save(best, "best")
+    two = best.join(best.select(F.col("c").alias("best"), F.col("best").alias("second")), "best")
+    keyed = ws.save(two.select("c", F.least("best", "second").alias("key"), (F.col("c") == F.col("second")).alias("mutual")), "keyed")
+    # a cluster that very many name: the pair stays together, the others are dealt by themselves
+    large = keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > max(1, task_clusters // 2))
+    salt = F.when(F.col("size").isNotNull() & ~F.col("mutual"), F.xxhash64("c")).otherwise(F.lit(0))
+    block = F.pmod(F.xxhash64("key", salt), F.lit(-(-clusters // task_clusters))).cast("int")
+    return ws.save(keyed.join(large, "key", "left").select("c", block.alias("block")), "blocks")
+
+
+def _merged(ws: Workspace, state: DataFrame, edges: DataFrame, least: float, dim: int, task_clusters: int, ups: list[DataFrame]) -> tuple[DataFrame, DataFrame, bool]:
+    """Merge all pairs that can be; ups: gets (v, parent) of what merged away. Returns the clusters that are left, their edges, and whether any merged."""
+    merged = False
+    while True:
+        directed = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        ends = directed.select(F.col("a").alias("c")).distinct()
+        clusters = ends.count()
+        if not clusters:
+            return state, edges, merged
+        blocks = ends.withColumn("block", F.lit(0)) if clusters <= task_clusters else _blocks(ws, directed, clusters, task_clusters)
+        at = blocks.withColumnRenamed("c", "a")
+        void = lambda kind: F.lit(None).cast(kind)
+        nodes = state.withColumnRenamed("c", "a").join(at, "a").select("block", "a", void("bigint").alias("b"), "n", "s", "spare", void("double").alias("sim"))
+        links = directed.join(at, "a").select("block", "a", "b", void("bigint").alias("n"), void("array<double>").alias("s"), void("double").alias("spare"), "sim")
+        rows = nodes.unionByName(links).repartition(max(1, -(-clusters // task_clusters)), "block")
+        got = ws.save(rows.groupBy("block").applyInArrow(_merge_task(least, dim), _ROWS), "merged")
+        moved = got.filter("kind = 2").agg(F.sum("n")).first()[0]
+        place = got.filter("kind = 0")
+        if moved:
+            merged = True
+            ups.append(place.filter("a <> b").select(F.col("a").alias("v"), F.col("b").alias("parent")))
+            state = ws.save(state.join(place.select(F.col("a").alias("c")), "c", "left_anti").unionByName(place.filter("a = b").select(F.col("a").alias("c"), "n", "s", "spare")), "state")
+        # both sides know a bound; a partner that grew may hold what this side never listed
+        renamed = got.filter("kind = 1").select("a", F.col("b").alias("old"), "spare", "sim").join(place.select(F.col("a").alias("old"), "b", "grown"), "old")
+        bound = F.when(F.col("grown") & (F.col("spare") > 0), F.greatest("sim", least + F.col("spare"))).otherwise(F.col("sim"))
+        lo = F.col("a") < F.col("b")
+        sides = renamed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(lo, bound).alias("p"), F.when(~lo, bound).alias("q"))
+        edges = ws.save(sides.groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q")).select("a", "b", F.least("p", "q").alias("sim")).filter(F.col("sim") >= least), "edges")
+        if not moved or clusters <= task_clusters:
+            return state, edges, merged
 
 
 def similarity_clusters(records: DataFrame, *, key: str = "file", vector: str = "vec", least: float = 0.9, k: int = 10, dim: int = 64, task_clusters: int = TASK_CLUSTERS) -> DataFrame:
@@ -167,7 +305,8 @@ def similarity_clusters(records: DataFrame, *, key: str = "file", vector: str =
 
     typicality is the mean cosine of the record to the others of its cluster, null for a record alone. Clusters are those of average
     linkage at the threshold ``least``; where mutually similar groups are apart from each other they are those groups. Records with equal
-    vectors start as one cluster.
+    vectors start as one cluster. They don't depend on ``task_clusters``, which only sets the size of a task, nor, but for what the search of
+    neighbours misses, on ``k``.
 
     Defined cases: rows with a null key or an unusable vector (see ``neighbors.nearest``) take no part; of several rows of a key the one with the
     smallest vector counts; equal linkages go by the smaller internal number; a record similar to no other is a
@@ -179,35 +318,36 @@ def similarity_clusters(records: DataFrame, *, key: str = "file", vector: str =
     norm = F.expr("sqrt(" + _DOT.format("vec", "vec") + ")")
     r = r.groupBy("record").agg(F.min("vec").alias("vec")).withColumn("norm", norm).select("record", F.expr("transform(vec, x -> x / norm)").alias("vec"))
     r = ws.save(r.withColumn("same", F.struct(F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))), "records")
-    start = r.groupBy("same").agg(F.count("*").alias("n"), F.min("vec").alias("vec"))
-    start = ws.save(start.withColumn("c", F.monotonically_increasing_id()), "start")  # written once, so the numbers hold
+    # numbered in the order of records and written once, so that the numbers hold
+    start = r.groupBy("same").agg(F.count("*").alias("n"), F.min("vec").alias("vec"), F.min("record").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+    start = ws.save(start.withColumn("c", F.monotonically_increasing_id()).drop("first"), "start")
     state = start.select("c", "n", F.expr("transform(vec, x -> x * n)").alias("s"))
-    ups: list[DataFrame] = []
-    turn = idle = 0
+    done, ups = state.limit(0), []
     while True:
-        near = neighbors.nearest(state, key="c", vector="s", k=k, order=None, dim=dim, min_similarity=least, **neighbors.CLOSE | {"within": least})
-        edges = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if turn:  # means of clusters are shorter than 1, so their linkage may be below their cosine
-            ends = [state.select(F.col("c").alias(e), F.col("n").alias("n" + e), F.col("s").alias("s" + e)) for e in "ab"]
-            edges = edges.join(ends[0], "a").join(ends[1], "b").filter(F.expr(_DOT.format("sa", "sb")) / (F.col("na") * F.col("nb")) >= least).select("a", "b")
-        edges = ws.save(edges, "edges")
-        if not edges.limit(1).count():
+        near = neighbors.nearest(state, key="c", vector="s", k=k, order=None, dim=dim, min_similarity=least - ROOM, within=least - ROOM, recall=neighbors.ALL_OF_SAMPLE, width=max(40, 2 * k + 8))
+        near = ws.save(near.select("id", "other", "cosine"), "near")
+        # a full list bounds what it doesn't hold by its last entry; means are shorter than 1, so linkages are below cosines
+        full = near.groupBy(F.col("id").alias("c")).agg(F.count("*").alias("found"), F.min("cosine").alias("last")).filter(F.col("found") == k)
+        state = ws.save(state.join(full, "c", "left").withColumn("length", F.expr("sqrt(" + _DOT.format("s", "s") + ") / n")).select("c", "n", "s", "length", F.greatest(F.lit(0.0), F.coalesce(F.col("last") * F.col("length") + ROOM - least, F.lit(0.0))).alias("spare")), "state")
+        ends = [state.select(F.col("c").alias(e), F.col("length").alias("l" + e)) for e in "ab"]
+        pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cosine").alias("cosine"))
+        edges = ws.save(pairs.join(ends[0], "a").join(ends[1], "b").withColumn("sim", F.col("cosine") * F.col("la") * F.col("lb") + ROOM).filter(F.col("sim") >= least).select("a", "b", "sim"), "edges")
+        state, edges, merged = _merged(ws, state.drop("length"), edges, least, dim, task_clusters, ups)
+        # only what may have a partner beyond its list goes on, and its partners
+        open_ = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct().unionByName(state.filter("spare > 0").select("c")).distinct()
+        open_ = ws.save(open_, "open")
+        if not open_.limit(1).count():
             break
-        merged = _pass(ws, state, edges, least, dim, turn, task_clusters)
-        gone = merged.filter("c <> root").select("c", "root")
-        if gone.limit(1).count():
-            ups.append(gone)
-            idle = 0
-        else:  # nothing merged: only blocks of a large part may have missed a pair, which other blocks will hold
-            idle += 1
-            if idle > MOST_IDLE or merged.count() <= task_clusters:
-                break
-        state = ws.save(state.join(merged.select("c"), "c", "left_anti").unionByName(merged.filter("c = root").select("c", "n", "s")), "state")
-        turn += 1
+        done = done.unionByName(state.join(open_, "c", "left_anti").select("c", "n", "s"))
+        state = ws.save(state.join(open_, "c", "left_semi").select("c", "n", "s"), "state")
+        k *= 2
     names = r.select("record", "vec", "same").join(start.select("same", "c"), "same")
-    for up in ups:  # a cluster of one pass may be gone in a later one
-        names = names.join(up, "c", "left").select("record", "vec", F.coalesce("root", "c").alias("c"))
-    sums = state.select("c", "n", "s")
+    if ups:
+        gone = ups[0]
+        for u in ups[1:]:
+            gone = gone.unionByName(u)
+        names = names.join(components.resolve(ws, gone).withColumnRenamed("v", "c"), "c", "left").select("record", "vec", F.coalesce("root", "c").alias("c"))
+    sums = done.unionByName(state.select("c", "n", "s"))
     return names.join(sums, "c").select("record", F.col("c").alias("cluster"), "n", F.when(F.col("n") > 1, (F.expr(_DOT.format("vec", "s")) - 1) / (F.col("n") - 1)).alias("typicality"))
 
 

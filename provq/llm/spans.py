@@ -5,11 +5,14 @@ Method: a log-structured index of window fingerprints. Of every ``span`` consecu
 two records that share a span share its anchors. Each batch of records adds one immutable run of its anchors, sorted and
 bucketed by hash; it is merge-joined with the runs of earlier batches, whose buckets are not shuffled again. Anchors seen
 in two records are *candidates*. Runs of one level are compacted into one of the next when there are ``fanout`` of them.
-Verification looks at the candidates' surroundings only and compares 128-bit fingerprints, in two steps. A *block*, from a candidate on,
+Verification looks at the candidates' surroundings only and compares fingerprints of 126 bits, in two steps: a polynomial modulo 2^64 and two modulo a
+prime, which texts of a structure that defeats the first (such as Thue-Morse words) don't defeat. A *block*, from a candidate on,
 holds all spans that begin before the next anchor at the latest; blocks found in two records confirm the inside of long passages by
 one fingerprint an anchor. Then every whole span around the candidates gets a fingerprint, but of a confirmed block only those of one record,
 which stand for all others and are marked as found more than once. The confirmed pieces are united to covered positions. No
-pairs of records are formed, and the inside of a passage that stands in a third of all records is looked at once.
+pairs of records are formed, and the inside of a passage that stands in a third of all records is looked at once. What is common is
+counted with map-side combination and stored, then joined to the fingerprints as one plain shuffle to another, so that adaptive execution
+can split a fingerprint that a third of all records have.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from provq.runtime import Workspace, stored_bytes
 #: Odd multipliers of the polynomial hashes modulo 2^64 and of their mixing.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+#: A prime and two bases below it.
+PRIME, PRIME_BASES = (1 << 31) - 1, (1_103_515_245, 1_597_334_677)
+#: Characters of which a bucket of the index holds the anchors, and buckets at most.
+BUCKET_CHARS, MOST_BUCKETS = 150_000_000, 50_000
 #: Characters that are hashed at once; longer texts are cut into slices that overlap by a span less one.
 SLICE = 400_000
 #: Candidate lists up to this stored size are broadcast to the scan of the texts, larger ones are joined by a shuffle.
@@ -62,6 +69,37 @@ def window_hashes(points: np.ndarray, length: int, which: int = 0) -> np.ndarray
     return h | np.uint64(1)
 
 
+_prime_tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses modulo the prime."""
+    size = max(1 << 16, 1 << (n - 1).bit_length())
+    if size not in _prime_tables:
+        tables = []
+        for base in PRIME_BASES:
+            pair = []
+            for b in (base, pow(base, -1, PRIME)):
+                p = np.ones(1, np.uint64)
+                while len(p) < size:
+                    p = np.concatenate([p, p * np.uint64(pow(b, len(p), PRIME)) % np.uint64(PRIME)])
+                pair.append(p)
+            tables.append(tuple(pair))
+        _prime_tables[size] = tables
+    return _prime_tables[size]
+
+
+def prime_hashes(points: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the ``length`` code points from each place on: two polynomials modulo a prime, side by side."""
+    v, prime, out = points.astype(np.uint64) + np.uint64(1), np.uint64(PRIME), np.zeros(len(at), np.uint64)
+    for powers, inverses in _prime_powers(len(points)):
+        c = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(v * powers[: len(v)] % prime, out=c[1:])
+        h = (c[at + length] - c[at]) % prime * inverses[at] % prime
+        out = out << np.uint64(31) | h
+    return out
+
+
 def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -148,7 +186,7 @@ def _gathered(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _fingerprints(points: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(window_hashes(points, length, k)[at] for k in (0, 1))
+    return window_hashes(points, length)[at], prime_hashes(points, length, at)
 
 
 def _block_rows(span: int, gram: int):
@@ -215,9 +253,11 @@ class SpanIndex:
         for s in seen:
             matched = matched.union(s)
         matched = self.ws.save(matched.distinct(), "matched")
+        before = list(self.candidates)
         for side in [fresh, *history]:
             self.candidates.append(side.join(matched, "h", "left_semi").select("doc", "pos"))
         self.candidates = [self.ws.save(self._all_candidates(), "candidates")]
+        self.ws.drop(matched, *before)
         self.compact()
 
     def _all_candidates(self) -> DataFrame:
@@ -260,7 +300,8 @@ class SpanIndex:
     def _common(self, prints: DataFrame) -> DataFrame:
         """(doc, at, low) of the fingerprints that two records have, low the smallest of them."""
         twice = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("many").alias("many")).filter("low < high or many").select("a", "b", "low")
-        return prints.join(twice, ["a", "b"]).select("doc", "at", "low")
+        twice = self.ws.save(twice, "twice")  # an aggregate's own shuffle couldn't be split by adaptive execution
+        return prints.select("a", "b", "doc", "at").join(twice, ["a", "b"]).select("doc", "at", "low")
 
     def _listed(self, places: DataFrame, name: str) -> DataFrame:
         """The places of each record as a sorted list, which is no longer than its text."""
@@ -275,6 +316,7 @@ class SpanIndex:
         wanted = self.ws.save(self._listed(self._all_candidates().withColumnRenamed("pos", "at"), "places"), "wanted")
         blocks = self.ws.save(self._with_texts(texts, wanted).select("doc", "text", "places").mapInArrow(_block_rows(span, gram), kind), "blocks")
         inside = self.ws.save(self._common(blocks), "inside")
+        self.ws.drop(blocks)
         here, there = (self._listed(inside.filter(c), n) for c, n in (("doc = low", "here"), ("doc <> low", "there")))
         wanted = self.ws.save(wanted.join(here, "doc", "left").join(there, "doc", "left"), "wanted")
         ends = self._common(self._with_texts(texts, wanted).select("doc", "text", "places", "here", "there").mapInArrow(_span_rows(span, gram), kind))
@@ -297,10 +339,12 @@ def shared_spans(texts: DataFrame, *, key: str = "doc_id", text: str = "text", s
     spark = texts.sparkSession
     ws = Workspace(spark, "spans")
     rows = texts.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna()
-    if rows.groupBy("doc").count().filter("count > 1").limit(1).count():
+    sizes = rows.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n").alias("n"), F.sum("chars").alias("chars")).first()
+    if (sizes["n"] or 0) > 1:
         rows = rows.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("best")).select("doc", "best.text")
     rows = rows.filter(F.length("text") >= span)
-    index = SpanIndex(ws, span, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-(sizes["chars"] or 0) // BUCKET_CHARS)))
+    index = SpanIndex(ws, span, buckets=buckets)
     part = F.pmod(F.xxhash64("doc"), F.lit(batches))
     for k in range(batches):
         index.add(rows.filter(part == k))

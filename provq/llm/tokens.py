@@ -3,7 +3,7 @@
 Method: the tiktoken library with a local rank file. Long texts are cut before encoding at places where the
 vocabulary's pattern always starts a new piece, so that no call holds a huge text and the ids stay those of the whole
 text; a stretch without such a place (one run of letters, say) goes to the library whole, which merges it in n log n. Ids are
-turned back into texts by their raw bytes.
+turned back into texts by their raw bytes. The driver ships the rank file to the executors, which needn't have it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,14 @@ def decode(ids: list[int], path: str) -> bytes:
     return encoding(path).decode_bytes(ids)
 
 
-def _encoded(path: str, counts: bool):
+def _shipped(rows: DataFrame, path: str) -> str:
+    rows.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def _encoded(shipped: str, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = SparkFiles.get(os.path.basename(shipped))
         for b in batches:
             got = [encode(t, path) for t in b.column(1).to_pylist()]
             if counts:
@@ -94,10 +101,10 @@ def token_ids(texts: DataFrame, *, key: str = "doc_id", text: str = "text", toke
     tokens are ordinary text; repeated rows and null keys are kept as they are; other columns are ignored. No shuffle takes place.
     """
     rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(rank_file(tokenizer, folder), False), f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(_encoded(_shipped(rows, rank_file(tokenizer, folder)), False), f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(texts: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, tokens BIGINT): the number of ids of each text, with ``token_ids``'s cases."""
     rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(rank_file(tokenizer, folder), True), f"key {rows.schema['key'].dataType.simpleString()}, tokens bigint")
+    return rows.mapInArrow(_encoded(_shipped(rows, rank_file(tokenizer, folder)), True), f"key {rows.schema['key'].dataType.simpleString()}, tokens bigint")
