@@ -115,8 +115,8 @@ def file_vectors(rows: DataFrame, *, key: str = "feature_id", file: str = "file"
     """
     u = rows.select(F.col(key).alias("id"), F.col(file).alias("file"), F.col(vector).cast("array<float>").alias("vec"), F.col(order).alias("at"))
     u = u.filter(F.col("id").isNotNull() & neighbors.usable(F.col("vec"), dim))
-    once = u.groupBy("id").agg(F.min(F.struct("at", F.xxhash64("vec").alias("h"), "file", "vec")).alias("r")).select("r.file", "r.vec").filter("file is not null")
-    part = once.mapInArrow(_partial_sums(dim), "file string, sums binary, n bigint")
+    single = neighbors.once(Workspace(rows.sparkSession, "files"), u, "id", F.struct("at", F.xxhash64("vec").alias("h")).alias("first"))
+    part = single.select("file", "vec").filter("file is not null").mapInArrow(_partial_sums(dim), "file string, sums binary, n bigint")
     return part.repartition("file").sortWithinPartitions("file").mapInArrow(_means(dim), "file string, vec array<double>, n_vectors bigint")
 
 
@@ -273,12 +273,12 @@ def _merged(ws: Workspace, state: DataFrame, edges: DataFrame, least: float, dim
     merged = False
     while True:
         directed = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        ends = directed.select(F.col("a").alias("c")).distinct()
+        ends = ws.save(directed.select(F.col("a").alias("c"), F.lit(0).alias("block")).distinct(), "ends")
         clusters = ends.count()
         if not clusters:
             return state, edges, merged
-        blocks = ends.withColumn("block", F.lit(0)) if clusters <= task_clusters else _blocks(ws, directed, clusters, task_clusters)
-        at = blocks.withColumnRenamed("c", "a")
+        blocks = ends if clusters <= task_clusters else _blocks(ws, directed, clusters, task_clusters)
+        at = neighbors.sized(blocks).withColumnRenamed("c", "a")
         void = lambda kind: F.lit(None).cast(kind)
         nodes = state.withColumnRenamed("c", "a").join(at, "a").select("block", "a", void("bigint").alias("b"), "n", "s", "spare", void("double").alias("sim"))
         links = directed.join(at, "a").select("block", "a", "b", void("bigint").alias("n"), void("array<double>").alias("s"), void("double").alias("spare"), "sim")
@@ -289,7 +289,7 @@ def _merged(ws: Workspace, state: DataFrame, edges: DataFrame, least: float, dim
         if moved:
             merged = True
             ups.append(place.filter("a <> b").select(F.col("a").alias("v"), F.col("b").alias("parent")))
-            state = ws.save(state.join(place.select(F.col("a").alias("c")), "c", "left_anti").unionByName(place.filter("a = b").select(F.col("a").alias("c"), "n", "s", "spare")), "state")
+            state = ws.save(state.join(neighbors.sized(blocks).select("c"), "c", "left_anti").unionByName(place.filter("a = b").select(F.col("a").alias("c"), "n", "s", "spare")), "state")
         # both sides know a bound; a partner that grew may hold what this side never listed
         renamed = got.filter("kind = 1").select("a", F.col("b").alias("old"), "spare", "sim").join(place.select(F.col("a").alias("old"), "b", "grown"), "old")
         bound = F.when(F.col("grown") & (F.col("spare") > 0), F.greatest("sim", least + F.col("spare"))).otherwise(F.col("sim"))
@@ -316,32 +316,35 @@ def similarity_clusters(records: DataFrame, *, key: str = "file", vector: str =
     ws = Workspace(spark, "clusters")
     r = records.select(F.col(key).alias("record"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("record").isNotNull() & neighbors.usable(F.col("vec"), dim))
     norm = F.expr("sqrt(" + _DOT.format("vec", "vec") + ")")
-    r = r.groupBy("record").agg(F.min("vec").alias("vec")).withColumn("norm", norm).select("record", F.expr("transform(vec, x -> x / norm)").alias("vec"))
+    r = neighbors.once(ws, r, "record", F.col("vec").alias("least")).withColumn("norm", norm).select("record", F.expr("transform(vec, x -> x / norm)").alias("vec"))
     r = ws.save(r.withColumn("same", F.struct(F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))), "records")
     # numbered in the order of records and written once, so that the numbers hold
-    start = r.groupBy("same").agg(F.count("*").alias("n"), F.min("vec").alias("vec"), F.min("record").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
-    start = ws.save(start.withColumn("c", F.monotonically_increasing_id()).drop("first"), "start")
-    state = start.select("c", "n", F.expr("transform(vec, x -> x * n)").alias("s"))
+    start = r.groupBy("same").agg(F.count("*").alias("n"), F.min("record").alias("record")).repartitionByRange("record").sortWithinPartitions("record")
+    start = ws.save(start.withColumn("c", F.monotonically_increasing_id()), "start")
+    state = ws.save(r.select("record", "vec").join(neighbors.sized(start).drop("same"), "record").select("c", "n", F.expr("transform(vec, x -> x * n)").alias("s")), "state")
     done, ups = state.limit(0), []
     while True:
         near = neighbors.nearest(state, key="c", vector="s", k=k, order=None, dim=dim, min_similarity=least - ROOM, within=least - ROOM, recall=neighbors.ALL_OF_SAMPLE, width=max(40, 2 * k + 8))
         near = ws.save(near.select("id", "other", "cosine"), "near")
         # a full list bounds what it doesn't hold by its last entry; means are shorter than 1, so linkages are below cosines
-        full = near.groupBy(F.col("id").alias("c")).agg(F.count("*").alias("found"), F.min("cosine").alias("last")).filter(F.col("found") == k)
-        state = ws.save(state.join(full, "c", "left").withColumn("length", F.expr("sqrt(" + _DOT.format("s", "s") + ") / n")).select("c", "n", "s", "length", F.greatest(F.lit(0.0), F.coalesce(F.col("last") * F.col("length") + ROOM - least, F.lit(0.0))).alias("spare")), "state")
-        ends = [state.select(F.col("c").alias(e), F.col("length").alias("l" + e)) for e in "ab"]
+        full = ws.save(near.groupBy(F.col("id").alias("c")).agg(F.count("*").alias("found"), F.min("cosine").alias("last")).filter(F.col("found") == k), "full")
+        lengths = ws.save(state.select("c", F.expr("sqrt(" + _DOT.format("s", "s") + ") / n").alias("length")), "lengths")
+        bound = F.greatest(F.lit(0.0), F.coalesce(F.col("last") * F.col("length") + ROOM - least, F.lit(0.0)))
+        bounds = ws.save(lengths.join(neighbors.sized(full), "c").select("c", bound.alias("spare")), "bounds")
+        state = state.join(neighbors.sized(bounds), "c", "left").withColumn("spare", F.coalesce("spare", F.lit(0.0)))
+        ends = [neighbors.sized(lengths).select(F.col("c").alias(e), F.col("length").alias("l" + e)) for e in "ab"]
         pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cosine").alias("cosine"))
         edges = ws.save(pairs.join(ends[0], "a").join(ends[1], "b").withColumn("sim", F.col("cosine") * F.col("la") * F.col("lb") + ROOM).filter(F.col("sim") >= least).select("a", "b", "sim"), "edges")
-        state, edges, merged = _merged(ws, state.drop("length"), edges, least, dim, task_clusters, ups)
+        state, edges, merged = _merged(ws, state, edges, least, dim, task_clusters, ups)
         # only what may have a partner beyond its list goes on, and its partners
         open_ = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct().unionByName(state.filter("spare > 0").select("c")).distinct()
         open_ = ws.save(open_, "open")
         if not open_.limit(1).count():
             break
-        done = done.unionByName(state.join(open_, "c", "left_anti").select("c", "n", "s"))
-        state = ws.save(state.join(open_, "c", "left_semi").select("c", "n", "s"), "state")
+        done = done.unionByName(state.join(neighbors.sized(open_), "c", "left_anti").select("c", "n", "s"))
+        state = ws.save(state.join(neighbors.sized(open_), "c", "left_semi").select("c", "n", "s"), "state")
         k *= 2
-    names = r.select("record", "vec", "same").join(start.select("same", "c"), "same")
+    names = r.select("record", "vec", "same").join(neighbors.sized(start).select("same", "c"), "same")
     if ups:
         gone = ups[0]
         for u in ups[1:]:

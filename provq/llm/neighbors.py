@@ -398,5 +398,18 @@ def nearest(rows: DataFrame, *, key: str = "feature_id", vector: str = "features
 
 def _note(ws: Workspace, rows: DataFrame, notes: DataFrame, on: str) -> DataFrame:
     """Left join to a table of exceptions: broadcast if it's small, else by a shuffle."""
-    notes = ws.save(notes, "notes")
-    return rows.join(F.broadcast(notes) if stored_bytes(notes) <= BROADCAST_BYTES else notes, on, "left")
+    return rows.join(sized(ws.save(notes, "notes")), on, "left")
+
+
+def sized(saved: DataFrame) -> DataFrame:
+    """A table that ``Workspace.save`` returned, to be broadcast in a join if it's small."""
+    return F.broadcast(saved) if stored_bytes(saved) <= BROADCAST_BYTES else saved
+
+
+def once(ws: Workspace, rows: DataFrame, key: str, first: Column) -> DataFrame:
+    """Rows with each key once: of those that come more than once the smallest by ``first``. Only keys are shuffled, and the rows that do come again."""
+    again = rows.groupBy(key).count().filter("count > 1").select(key, F.lit(True).alias("_again"))
+    noted = _note(ws, rows, again, key)
+    columns = rows.columns
+    least = noted.filter("_again").groupBy(key).agg(F.min(F.struct(first, *(c for c in columns if c != key))).alias("_r")).select(*(key if c == key else F.col(f"_r.{c}").alias(c) for c in columns))
+    return noted.filter("_again is null").select(*columns).unionByName(least)
