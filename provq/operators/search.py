@@ -120,11 +120,14 @@ def ivf_knn(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k
     """``exact_knn`` within the ``nprobe`` cells nearest to each query; with all cells probed the results are equal."""
     q = assign_cells(queries.select("q", "v"), centroids, nprobe)
     b = assign_cells(base.select("feature_id", "v"), centroids)
-    n_b = base.count()
-    split = max(1, -(-n_b // (BASE_BLOCK * len(centroids))) * 2)  # cells larger than a task are cut by key
-    q = q.select("q", "v", "cell", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"))
-    b = b.select("feature_id", "v", "cell", F.pmod(F.xxhash64("feature_id"), F.lit(split)).cast("int").alias("part"))
-    top = q.groupBy("cell", "part").cogroup(b.groupBy("cell", "part")).applyInArrow(_block_top(k), "q bigint, feature_id bigint, dist double")
+    # each cell is cut by its own number of rows, and queries into blocks; one row for each cell comes to the driver
+    sizes = {r["cell"]: r["count"] for r in b.groupBy("cell").count().collect()}
+    parts = F.element_at(F.array(*(F.lit(max(1, -(-sizes.get(c, 0) // BASE_BLOCK))) for c in range(len(centroids)))), F.col("cell") + 1)
+    blocks = max(1, -(-queries.count() // (4 * QUERY_BLOCK)))
+    q = q.select("q", "v", "cell", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    b = b.select("feature_id", "v", "cell", F.pmod(F.xxhash64("feature_id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    by = ["cell", "part", "block"]
+    top = q.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(_block_top(k), "q bigint, feature_id bigint, dist double")
     return ranked(top, k)
 
 

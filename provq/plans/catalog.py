@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
     return {k: f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({v})" if k in _RANKED else v for k, v in _SQL.items()}
 
 
-_RANKED = {"knn_exact", "knn_graph_self", "shard_fusion", "metadata_lookup", "ivf_search", "topk_candidates", "tier2_top2", "pair_down", "groundtruth_correct", "groundtruth_erroneous", "remapped_results"}
+_RANKED = {"knn_exact", "knn_graph_self", "shard_fusion", "metadata_lookup", "ivf_search", "topk_candidates", "tier2_top2", "pair_down", "groundtruth_correct", "groundtruth_erroneous", "remapped_results", "pq_search", "index_merge"}
 
 
 def _r(c: str, places: int = 6):

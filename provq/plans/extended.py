@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from provq.functions import names
-from provq.operators import evaluate, graph, matching, ranges, results, scoring, search
+from provq.operators import evaluate, graph, index, matching, ranges, results, scoring, search
 from provq.plans import inputs as I
-from provq.plans.catalog import _CENTRES, _MAX, _centres, _query, _r, merge_max
-from provq.runtime import is_finite, table
+from provq.plans.catalog import _CENTRES, _MAX, _SQL, _centres, _query, _r, merge_max
+from provq.runtime import Workspace, is_finite, table
 
 # listings, numbers, ranges
 
@@ -167,6 +168,60 @@ def nprobe_sweep(spark, d):
     return evaluate.sweep(q, b, _centres(feat), 10, (1, 2, 4, 8, 16)).select("nprobe", "n_queries", _r("share"))
 
 
+@_query(f"""WITH {_CENTRES}, word AS (SELECT cell AS w, p, list_slice(cv, p * 8 + 1, p * 8 + 8) AS c FROM cen, range(0, 8) t(p)),
+    slice AS (SELECT feature_id, image_id, p, list_slice(v, p * 8 + 1, p * 8 + 8) AS s FROM feat, range(0, 8) t(p)),
+    apart AS (SELECT feature_id, image_id, p, w, round(list_dot_product(s, s) - 2 * list_dot_product(s, c) + list_dot_product(c, c), 9) AS t FROM slice JOIN word USING (p)),
+    code AS (SELECT feature_id, p, w FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, p ORDER BY t, w) AS r FROM apart) WHERE r = 1),
+    near AS (SELECT q.feature_id AS q_feature, code.feature_id, greatest(0.0, round(sum(t), 9)) + 0.0 AS dist FROM apart q JOIN code USING (p, w) WHERE q.image_id % 100 = 0 GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10""")
+def pq_search(spark, d):
+    """Search over product-quantiser codes alone, with the code words of the SQL; ``ivf_pq_search`` trains its own."""
+    feat = I.features(spark, d)
+    words = np.array(_centres(feat))
+    fixed = index.Index(None, np.zeros((1, words.shape[1])), np.stack(np.split(words, 8, axis=1)))
+    got = index.search(fixed, I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), index.encode(fixed, feat.select("feature_id", "v")), 10)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
+@_query(_SQL["ivf_search"])
+def index_merge(spark, d):
+    """Two shards coded, stored, one of them in two deliveries, merged and searched; the cells and probes are those of the SQL."""
+    ws, feat = Workspace(spark, "index"), I.features(spark, d)
+    whole = index.Index(None, np.array(_centres(feat)), None)
+    coded = ws.save(index.encode(whole, feat.select("feature_id", "v")), "coded")
+    paths = [ws.path(f"shard{s}") for s in (0, 1)]
+    for rest, path in ((0, paths[0]), (1, paths[1]), (2, paths[1])):
+        index.append(coded.filter(F.col("feature_id") % 3 == rest), path)
+    index.merge(spark, paths, merged := ws.path("merged"))
+    got = index.search(whole, I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), spark.read.parquet(merged), 10, nprobe=4)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
+def _index(spark, d):
+    """A trained index of all features, its codes stored: 64 cells, 8 parts of 256 words after a balanced rotation."""
+    ws = Workspace(spark, "index")
+    feat = ws.save(I.features(spark, d).select("feature_id", "image_id", "v"), "features")
+    trained = index.load_or_train(spark, ws.path("trained"), feat, 64)
+    index.append(index.encode(trained, feat), path := ws.path("codes"))
+    return feat, trained, spark.read.parquet(path)
+
+
+@_query()
+def index_train(spark, d):
+    """The trained cells with the number of features that each holds."""
+    _, trained, coded = _index(spark, d)
+    return coded.groupBy("cell").agg(F.count("*").alias("n"))
+
+
+@_query()
+def ivf_pq_search(spark, d):
+    """Search by trained cells and codes; codes propose 100, exact distances choose 10."""
+    feat, trained, coded = _index(spark, d)
+    q = I.queries_of(feat).select(F.col("feature_id").alias("q"), "v")
+    got = index.reranked(index.search(trained, q, coded, 100, nprobe=32), q, feat, 10)
+    return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
+
+
 @_query(f"WITH {I.sql_hits()}, c AS (SELECT probe_id, q_feature, image_id, dist, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS r FROM hit), t AS (SELECT probe_id, image_id, sum(1 / (1 + dist)) AS s FROM c WHERE r <= 15 GROUP BY 1, 2) SELECT probe_id, image_id, round(s / max(s) OVER (PARTITION BY probe_id), 6) AS score FROM t")
 def merged_hits(spark, d):
     """Hits of two halves of the index merged, cut to one and a half times ten, tallied and divided by the best."""

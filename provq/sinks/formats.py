@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provq.functions import names
+from provq.operators import ranges
+
 
 def feature_file(descriptors: np.ndarray, points: np.ndarray, width: int, height: int) -> bytes:
     """The bytes of a feature file, see ``sources.formats.feature_rows``."""
@@ -57,14 +60,42 @@ def manifest(rows: DataFrame, path: str) -> None:
     m.write.mode("append").option("sep", "|").option("header", "true").csv(path)
 
 
+def cluster_members(members: DataFrame, algorithm: str) -> DataFrame:
+    """members(cluster, member) -> (name, n, member): the file name of each member's cluster; clusters are numbered from the largest (ties: the smaller cluster)."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), (-F.count("*")).alias("less"))
+    numbered = ranges.numbered(sizes, "less", "cluster")
+    name = names.cluster_file((F.col("row_no") + 1).cast("int"), F.col("n"), algorithm)
+    return members.select("cluster", "member").join(numbered.select("cluster", "n", name.alias("name")), "cluster").select("name", "n", "member")
+
+
+def cluster_folder(members: DataFrame, algorithm: str, path: str) -> None:
+    """Write each cluster below the folder, which is emptied first: a sub-folder by its file name, a JSON line for each member, so no cluster is gathered."""
+    cluster_members(members, algorithm).write.mode("overwrite").partitionBy("name").json(path)
+
+
 def cluster_documents(members: DataFrame, algorithm: str) -> DataFrame:
-    """members(cluster, n, member), members ranked beforehand -> (name, document); clusters are numbered from the largest.
+    """members(cluster, member) -> (name, document); a document lists all members of its cluster, so use ``cluster_folder`` where clusters may be large."""
+    per = cluster_members(members, algorithm).groupBy("name", "n").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    return per.select("name", F.to_json(F.struct("n", "members")).alias("document"))
+
+
+def result_tree(docs: DataFrame, group: str, path: str) -> None:
+    """Write each group's document as text into a sub-folder of its own, on any file system that the session can reach; what is there stays."""
+    docs.select(group, "document").write.mode("append").partitionBy(group).text(path)
+
+
+def progress(completed: DataFrame, unable: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(state, n): how many of the listed are completed, unable and remaining; one that is in both lists counts as completed."""
+    done = completed.select(key).distinct().withColumn("state", F.lit("completed"))
+    bad = unable.select(key).distinct().join(done, key, "left_anti").withColumn("state", F.lit("unable"))
+    rest = listed.select(key).distinct().join(done.unionByName(bad), key, "left")
+    return rest.groupBy(F.coalesce("state", F.lit("remaining")).alias("state")).agg(F.count("*").alias("n"))
+
 
-    A cluster's document lists its members and is as large as the cluster; use it for reports, not as a join's input.
-    """
-    per = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("member")).alias("members"))
-    name = F.format_string(f"cluster_%s_size%d_algorithm_{algorithm}.json", F.col("cluster").cast("string"), F.col("n"))
-    return per.select(name.alias("name"), F.to_json(F.struct("cluster", "n", "members")).alias("document"))
+def query_map(numbered: DataFrame) -> DataFrame:
+    """(image_id, q_image, feature_id) -> (document): one JSON line for each query image with its number and its features."""
+    per = numbered.groupBy("image_id", "q_image").agg(F.sort_array(F.collect_list("feature_id")).alias("features"))
+    return per.select(F.to_json(F.struct("image_id", "q_image", "features")).alias("document"))
 
 
 def graph_documents(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -69,6 +69,6 @@ def test_documents(spark, tmp_path):
     out.manifest(spark.createDataFrame([("p1", 0.5, "p1.json"), ("p2", None, None)], "probe_id string, score double, output string"), str(tmp_path / "m"))
     assert {r["ProvenanceProbeStatus"] for r in src.piped(spark, str(tmp_path / "m")).collect()} == {"Processed", "NonProcessed"}
     c = out.cluster_documents(spark.createDataFrame([(1, "a"), (1, "b")], "cluster bigint, member string"), "markov").collect()[0]
-    assert c["name"] == "cluster_1_size2_algorithm_markov.json"
+    assert c["name"] == "cluster001_size2_algorithm_markov.json"
     g = out.graph_documents(spark.createDataFrame([(1, 0, "a", "a")], "probe_id bigint, idx int, file string, fileid string"), spark.createDataFrame([], "probe_id bigint, source int, target int, score double")).collect()[0]
     assert json.loads(g["document"])["nodes"][0]["id"] == "0"
