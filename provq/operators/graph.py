@@ -5,9 +5,11 @@ Edges are (a, b, weight) with a < b unless stated otherwise.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,36 +195,149 @@ def journal_ends(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return n.withColumns({"is_root": F.col("n_parents") == 0, "is_leaf": F.col("n_children") == 0})
 
 
+#: Images of a probe's candidate list that a graph is built over, the probe included.
+MOST_CANDIDATES = 100
+
+
+def _candidate_pairs(pairs: DataFrame, at_least: int, clear: int, near: float) -> DataFrame:
+    """Pairs that may be linked: mutual information either way, ``at_least`` matches, and ``clear`` matches or a mean distance below ``near``."""
+    return pairs.filter(((F.col("mi_ij") != 0) | (F.col("mi_ji") != 0)) & (F.col("kp_count") >= at_least) & ((F.col("kp_count") >= clear) | (F.col("avg_dist") < near)))
+
+
 def strongest_links(pairs: DataFrame, at_least: int = 4, clear: int = 10, near: float = 0.1) -> DataFrame:
     """pairs(probe_id, i, j, kp_count, avg_dist, mi_ij, mi_ji) -> (probe_id, node, best, outward): each node's strongest neighbour.
 
-    A pair is a candidate if it has mutual information either way, ``at_least`` matches, and ``clear`` matches or a mean distance below
-    ``near``. Most matches win, then the highest mutual information, then the smallest neighbour; outward: the node's own direction is the stronger one.
+    Most matches win. Among neighbours of equal matches the smallest comes first with its own direction's mutual information; of the others, in ascending order, both
+    directions are offered, the node's own first, and the highest value wins, the earliest of equal ones. outward: the link points from the node; for the first neighbour that
+    is where the node's own direction is the stronger one, null if both are equal.
     """
-    ok = pairs.filter(((F.col("mi_ij") != 0) | (F.col("mi_ji") != 0)) & (F.col("kp_count") >= at_least) & ((F.col("kp_count") >= clear) | (F.col("avg_dist") < near)))
+    ok = _candidate_pairs(pairs, at_least, clear, near)
     both = ok.select("probe_id", F.col("i").alias("node"), F.col("j").alias("other"), "kp_count", F.col("mi_ij").alias("out"), F.col("mi_ji").alias("back")).unionByName(ok.select("probe_id", F.col("j").alias("node"), F.col("i").alias("other"), "kp_count", F.col("mi_ji").alias("out"), F.col("mi_ij").alias("back")))
-    best = F.max(F.struct("kp_count", F.greatest("out", "back").alias("mi"), (-F.col("other")).alias("m"), (F.col("out") >= F.col("back")).alias("outward"))).alias("s")
-    return both.groupBy("probe_id", "node").agg(best).select("probe_id", "node", (-F.col("s.m")).alias("best"), "s.outward")
+    node = ["probe_id", "node"]
+    top = both.groupBy(*node).agg(F.max("kp_count").alias("kp_count"))
+    tied = both.join(top, [*node, "kp_count"])
+    first = tied.groupBy(*node).agg(F.min("other").alias("first"))
+    offer = lambda value, step, outward: F.struct(value.alias("value"), (-F.col("other")).alias("m"), F.lit(-step).alias("step"), outward.alias("outward"))
+    own = F.when(F.col("out") > F.col("back"), True).when(F.col("out") < F.col("back"), False)
+    offers = F.when(F.col("other") == F.col("first"), F.array(offer(F.col("out"), 0, own))).otherwise(F.array(offer(F.col("out"), 0, F.lit(True)), offer(F.col("back"), 1, F.lit(False))))
+    best = tied.join(first, node).select(*node, F.explode(offers).alias("s")).groupBy(*node).agg(F.max("s").alias("s"))
+    return best.select(*node, (-F.col("s.m")).alias("best"), "s.outward")
+
+
+class _Candidates:
+    """The pair values of one probe's candidate list as matrices, and the rules that a graph grows by."""
+
+    def __init__(self, p: pd.DataFrame, at_least: int, clear: int, near: float):
+        n = int(max(p["i"].max(), p["j"].max())) + 1
+        self.kp, self.mi = np.zeros((n, n)), np.zeros((n, n))
+        far = np.full((n, n), np.inf)
+        i, j = p["i"].to_numpy(np.int64), p["j"].to_numpy(np.int64)
+        self.kp[i, j] = self.kp[j, i] = p["kp_count"]
+        far[i, j] = far[j, i] = p["avg_dist"]
+        self.mi[i, j], self.mi[j, i] = p["mi_ij"], p["mi_ji"]
+        self.ok = ((self.mi != 0) | (self.mi.T != 0)) & (self.kp >= at_least) & ((self.kp >= clear) | (far < near)) & ~np.eye(n, dtype=bool)
+
+    def strongest(self, node: int, used: list[int]) -> tuple[int, int, float, float] | None:
+        """(neighbour, 1 outward or -1 inward or 0, matches, mutual information) by the rule of ``strongest_links``."""
+        free = self.ok[node].copy()
+        free[used] = False
+        if not free.any():
+            return None
+        kp = self.kp[node][free].max()
+        tied = np.flatnonzero(free & (self.kp[node] == kp))
+        f = tied[0]
+        offers = [(f, int(np.sign(self.mi[node, f] - self.mi[f, node])), self.mi[node, f])]
+        for o in tied[1:]:
+            offers += [(o, 1, self.mi[node, o]), (o, -1, self.mi[o, node])]
+        other, way, mi = max(offers, key=lambda x: x[2])  # the earliest of equal ones
+        return int(other), way, float(kp), float(mi)
+
+    def alike(self, target: int, chain: list[int]) -> bool:
+        """Whether the target's matches with the chain lie within a deviation of the chain's own, for half of it at least; true for chains of two."""
+        if len(chain) <= 2:
+            return True
+        own = self.kp[np.ix_(chain, chain)][np.triu_indices(len(chain), 1)]
+        outside = np.abs(self.kp[chain, target] - own.mean()) > own.std()
+        return outside.sum() <= len(chain) / 2
+
+    def chain_of_probe(self) -> tuple[list[int], float]:
+        """The probe's chain, grown at both ends while what comes next is alike, and how much of it points onward."""
+        chain, ends, lean = [0], [0, 0], 0.0
+        step, side = self.strongest(0, chain), 0
+        lean += 0.5 * (1 if step and step[1] > 0 else -1)
+        while step:
+            lean += 1 if step[1] > 0 else -1
+            ends[side] = step[0]
+            chain = [*chain, step[0]] if side == 0 else [step[0], *chain]
+            steps = [self.strongest(e, chain) for e in ends]
+            fit = [s is not None and self.alike(s[0], chain) for s in steps]
+            if not any(fit):
+                break
+            side = 0 if fit[0] and (not fit[1] or steps[0][2] >= steps[1][2]) else 1
+            step = steps[side]
+        return chain, lean
+
+    def edges(self) -> list[tuple[int, int]]:
+        chain, lean = self.chain_of_probe()
+        out = list(zip(chain, chain[1:])) if lean > 0 else list(zip(chain[1:], chain))
+        used, lean = chain, 0.0  # the lean of branches is carried on from one to the next
+        while True:
+            steps = [(s[2] + s[3], n, s) for n in used if (s := self.strongest(n, used))]
+            if not steps:
+                return out
+            _, at, step = max(steps, key=lambda x: x[0])
+            lean += 1.5 if step[1] > 0 else -1.5
+            used, branch = [*used, step[0]], [step[0]]
+            inner = self.strongest(step[0], used)
+            while inner:
+                used, branch = [*used, inner[0]], [*branch, inner[0]]
+                lean += 1 if inner[1] > 0 else -1
+                inner = self.strongest(inner[0], used)
+                if inner and not self.alike(inner[0], branch):
+                    break
+            path = [at, *branch]
+            out += list(zip(path, path[1:])) if lean > 0 else list(zip(path[1:], path))
+
+
+def provenance_graph(pairs: DataFrame, at_least: int = 4, clear: int = 10, near: float = 0.1, most: int = MOST_CANDIDATES) -> DataFrame:
+    """pairs(probe_id, i, j, kp_count, avg_dist, mi_ij, mi_ji), node 0 the probe, nodes numbered by rank -> (probe_id, source, target): the directed graph of each probe.
+
+    A chain grows from the probe at both ends, always by the strongest link, while the next image is alike; its direction goes by majority, the first link
+    counting one and a half. Then branches leave the chain, each from the place of the strongest link left, and grow in the same way.
+    Nodes from ``most`` on are beyond the rank cut and take no part, so a probe's matrices are of bounded size.
+    """
+
+    def grow(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], a, b) for a, b in _Candidates(p, at_least, clear, near).edges()], columns=["probe_id", "source", "target"])
 
+    listed = pairs.filter((F.col("i") < most) & (F.col("j") < most) & (F.col("i") != F.col("j")))
+    return listed.groupBy("probe_id").applyInPandas(grow, "probe_id bigint, source bigint, target bigint")
 
-def grow_chains(pairs: DataFrame) -> DataFrame:
-    """pairs(probe_id, i, j, kp_count, mi_ij, mi_ji), node 0 the probe -> (probe_id, source, target): a directed graph grown greedily from the probe.
+
+def grow_chains(pairs: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """pairs(probe_id, i, j, kp_count, mi_ij, mi_ji), node 0 the probe -> (probe_id, source, target): the strongest tree that holds the probe.
 
     The strongest link between a placed and an unplaced node is added until none is left (matches, then mutual information, then the smaller nodes); a
-    link points the way of the higher mutual information, from the node placed first if equal. Groups are a probe's bounded candidate list.
+    link points the way of the higher mutual information, from the node placed first if equal. Nodes from ``most`` on are beyond the rank cut.
     """
 
     def grow(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(p.itertuples(index=False), key=lambda r: (-r.kp_count, -max(r.mi_ij, r.mi_ji), r.i, r.j))
-        placed, out = {0}, []
-        while True:
-            r = next((r for r in rows if (r.i in placed) != (r.j in placed)), None)
-            if r is None:
-                break
-            old, new = (r.i, r.j) if r.i in placed else (r.j, r.i)
-            forth, back = (r.mi_ij, r.mi_ji) if old == r.i else (r.mi_ji, r.mi_ij)
+        ways: dict[int, list] = {}
+        for i, j, kp, forth, back in zip(p["i"].tolist(), p["j"].tolist(), p["kp_count"].tolist(), p["mi_ij"].tolist(), p["mi_ji"].tolist()):
+            rank = (-kp, -max(forth, back), i, j)
+            ways.setdefault(i, []).append((rank, i, j, forth, back))
+            ways.setdefault(j, []).append((rank, j, i, back, forth))
+        placed, out, open_ = {0}, [], list(ways.get(0, []))
+        heapq.heapify(open_)
+        while open_:
+            _, old, new, forth, back = heapq.heappop(open_)
+            if new in placed:
+                continue
             out.append((key[0], old, new) if forth >= back else (key[0], new, old))
             placed.add(new)
+            for way in ways[new]:
+                heapq.heappush(open_, way)
         return pd.DataFrame(out, columns=["probe_id", "source", "target"])
 
-    return pairs.groupBy("probe_id").applyInPandas(grow, "probe_id bigint, source bigint, target bigint")
+    listed = pairs.filter((F.col("i") < most) & (F.col("j") < most))
+    return listed.groupBy("probe_id").applyInPandas(grow, "probe_id bigint, source bigint, target bigint")

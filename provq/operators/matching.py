@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provq.functions import vectors as V
@@ -49,6 +49,28 @@ def pair_stats(matches: DataFrame) -> DataFrame:
     return matches.groupBy(*PAIR).agg(F.count("*").alias("kp_count"), F.avg("dist").alias("avg_dist"))
 
 
+def related_pairs(matches: DataFrame, at_least: int = 4, clear: int = 10, share: float = 0.02) -> DataFrame:
+    """matches(probe_id, image_id, qx, qy, width, height of the probe) -> (probe_id, image_id, n): pairs of images that are related.
+
+    ``clear`` matches are enough; with fewer, but ``at_least`` so many, no two of them may lie further apart in the probe than ``share`` of its height (x) or width (y).
+    """
+    n = matches.groupBy(*PAIR).agg(F.count("*").alias("n"), (F.max("qx") - F.min("qx")).alias("dx"), (F.max("qy") - F.min("qy")).alias("dy"), F.max("width").alias("w"), F.max("height").alias("h"))
+    close = (F.col("dx") <= share * F.col("h")) & (F.col("dy") <= share * F.col("w"))
+    return n.filter((F.col("n") >= clear) | ((F.col("n") >= at_least) & close)).select(*PAIR, "n")
+
+
+def region_differs(width: Column, height: Column, image_width: Column, image_height: Column, share: float = 0.16, area: int = 125 * 125) -> Column:
+    """True for a region that differs from its image by more than ``share`` both ways and is larger than ``area``."""
+    off = lambda a, b: F.abs(a - b) / b > share
+    return off(width, image_width) & off(height, image_height) & (width * height > area)
+
+
+def well_conditioned(fits: DataFrame, least: float = 0.1) -> DataFrame:
+    """Fits whose equations have a reciprocal condition of ``least`` at least, with their rank, best first, for each probe."""
+    rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("rcond").desc(), "image_id"))
+    return fits.filter(F.col("rcond") >= least).withColumn("rank", rank)
+
+
 def ratio_test(nearest: DataFrame, most: float = 0.8) -> DataFrame:
     """(probe_id, image_id, q_feature, feature_id, dist, ratio): nearest features that are clearly nearer than the second nearest of their image.
 

@@ -47,3 +47,13 @@ def shard_offsets(rows: DataFrame, shard: str, *counts: str) -> DataFrame:
     per = rows.groupBy(shard).agg(*(F.count_distinct(c).alias("n_" + c) for c in counts))
     before = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
     return per.select(shard, *("n_" + c for c in counts), *(F.coalesce(F.sum("n_" + c).over(before), F.lit(0)).alias("start_" + c) for c in counts))
+
+
+def offset_union(shards: list[DataFrame], number: str) -> DataFrame:
+    """Rows of all shards, whose numbers each start from 0, with numbers that go on from one shard to the next, and the shard's place."""
+    out, start = None, 0
+    for k, shard in enumerate(shards):
+        part = shard.withColumns({number: F.col(number) + start, "shard_no": F.lit(k)})
+        out = part if out is None else out.unionByName(part)
+        start += shard.count()
+    return out

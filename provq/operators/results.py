@@ -82,3 +82,21 @@ def remapped(rows: DataFrame, first_names: DataFrame, then: DataFrame, item: str
     """Items replaced by the name that the first table (item, name) has, else the second, else left."""
     a, b = first_names.select(item, F.col("name").alias("_a")), then.select(item, F.col("name").alias("_b"))
     return rows.join(a, item, "left").join(b, item, "left").withColumn(item, F.coalesce("_a", "_b", item)).drop("_a", "_b")
+
+
+def padded(top: DataFrame, group: str, k: int) -> DataFrame:
+    """Rows of ranks 1 to k for each group; ranks that it doesn't have are null but for group and rank."""
+    ranks = top.select(group).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return ranks.join(top, [group, "rank"], "left")
+
+
+def rewritten(docs: DataFrame, group: str, names: DataFrame) -> DataFrame:
+    """(group, document): documents whose nodes' files are replaced by names(fileid, name), in their order; nodes without a name stay."""
+    nodes = docs.select(group, F.posexplode(F.from_json("document", DOCUMENT)["nodes"]).alias("rank", "n")).select(group, "rank", "n.*").join(names, "fileid", "left")
+    top = nodes.withColumns({"file": F.coalesce("name", "file"), "rank": F.col("rank") + 1, "score": F.col("nodeConfidenceScore")})
+    return documents(top, group, "file", "fileid")
+
+
+def centralities(removed: DataFrame) -> DataFrame:
+    """(document): one JSON document of the removed nodes and their degrees in the order of removal, which are few."""
+    return removed.agg(F.to_json(F.sort_array(F.collect_list(F.struct("round", "node", "degree")))).alias("document"))

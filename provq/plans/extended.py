@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from provq.functions import names
 from provq.operators import evaluate, graph, index, matching, ranges, results, scoring, search
 from provq.plans import inputs as I
-from provq.plans.catalog import _CENTRES, _MAX, _SQL, _centres, _query, _r, merge_max
+from provq.plans.catalog import _CENTRES, _MAX, _SQL, _TREE, _centres, _placed, _query, _r, merge_max
 from provq.runtime import Workspace, is_finite, table
 
 # listings, numbers, ranges
@@ -420,3 +420,78 @@ def affine_fits(spark, d):
     feat = I.features(spark, d)
     m = m.join(feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy")), "q_feature").join(feat.select("feature_id", "x", "y"), "feature_id")
     return matching.affine_fit(m)
+
+
+# graphs of provenance
+
+_LINKED = """link AS (SELECT graph_id AS probe_id, least(source, target) AS i, greatest(source, target) AS j, max(relationshipConfidenceScore) AS s FROM graph_links
+      WHERE graph_id IS NOT NULL AND source <> target AND isfinite(relationshipConfidenceScore) AND relationshipConfidenceScore > 0 GROUP BY ALL),
+    pair AS (SELECT probe_id, i, j, CAST(floor(s * 20) AS BIGINT) AS kp_count, 1 - s AS avg_dist, (i * 7919 % 1000) / 1000.0 AS mi_ij, (j * 104729 % 997) / 1000.0 AS mi_ji FROM link)"""
+
+
+def _linked(spark, d):
+    """Pair values that follow from the links' scores, in the form of ``pair_stats`` with mutual information."""
+    k = table(spark, d, "graph_links").filter(F.col("graph_id").isNotNull() & (F.col("source") != F.col("target")) & is_finite(F.col("relationshipConfidenceScore")) & (F.col("relationshipConfidenceScore") > 0))
+    s = k.groupBy(F.col("graph_id").alias("probe_id"), F.least("source", "target").alias("i"), F.greatest("source", "target").alias("j")).agg(F.max("relationshipConfidenceScore").alias("s"))
+    return s.select("probe_id", "i", "j", F.floor(F.col("s") * 20).alias("kp_count"), (1 - F.col("s")).alias("avg_dist"), (F.col("i") * 7919 % 1000 / 1000).alias("mi_ij"), (F.col("j") * 104729 % 997 / 1000).alias("mi_ji"))
+
+
+@_query(f"""WITH {_LINKED}, ok AS (SELECT * FROM pair WHERE (mi_ij <> 0 OR mi_ji <> 0) AND kp_count >= 4 AND (kp_count >= 10 OR avg_dist < 0.1)),
+    way AS (SELECT probe_id, i AS node, j AS other, kp_count, mi_ij AS out_, mi_ji AS back FROM ok UNION ALL SELECT probe_id, j, i, kp_count, mi_ji, mi_ij FROM ok),
+    tied AS (SELECT *, min(other) OVER (PARTITION BY probe_id, node) AS first FROM (SELECT *, max(kp_count) OVER (PARTITION BY probe_id, node) AS top FROM way) WHERE kp_count = top),
+    offer AS (SELECT probe_id, node, other, out_ AS v, 0 AS step, CASE WHEN other <> first OR out_ > back THEN true WHEN out_ < back THEN false END AS outward FROM tied UNION ALL SELECT probe_id, node, other, back, 1, false FROM tied WHERE other <> first)
+    SELECT probe_id, node, other AS best, outward FROM (SELECT *, row_number() OVER (PARTITION BY probe_id, node ORDER BY v DESC, other, step) AS r FROM offer) WHERE r = 1""")
+def strongest_link(spark, d):
+    return graph.strongest_links(_linked(spark, d))
+
+
+@_query()
+def provenance_chain(spark, d):
+    """The directed graph of each link graph's first hundred images, numbered by id; the smallest stands for the probe."""
+    p = _linked(spark, d)
+    ends = p.select("probe_id", F.explode(F.array("i", "j")).alias("node")).distinct()
+    n = ends.withColumn("n", F.row_number().over(Window.partitionBy("probe_id").orderBy("node")) - 1).filter(F.col("n") < graph.MOST_CANDIDATES)
+    for c in ("i", "j"):
+        p = p.join(n.withColumnsRenamed({"node": c, "n": "n_" + c}), ["probe_id", c])
+    return graph.provenance_graph(p.select("probe_id", F.col("n_i").alias("i"), F.col("n_j").alias("j"), "kp_count", "avg_dist", "mi_ij", "mi_ji"))
+
+
+@_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d), m AS (SELECT o.probe_id, o.image_id, f.x, f.y, i.width, i.height FROM o JOIN feat f ON f.feature_id = o.q_feature JOIN images i ON i.image_id = o.probe_id WHERE a = 1 AND b = 1 AND i.width > 0 AND i.height > 0) SELECT probe_id, image_id, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(*) >= 10 OR (count(*) >= 2 AND max(x) - min(x) <= 0.2 * max(height) AND max(y) - min(y) <= 0.2 * max(width))")
+def related_images(spark, d):
+    """Images related by their matches; with key points as sparse as these two matches within a fifth of the image are asked for."""
+    feat = I.features(spark, d)
+    sizes = table(spark, d, "images").filter("width > 0 and height > 0").select(F.col("image_id").alias("probe_id"), "width", "height")
+    m = matching.mutual_in_pair(I.pair_distances(spark, d)).join(feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy")), "q_feature").join(sizes, "probe_id")
+    return matching.related_pairs(m, at_least=2, share=0.2)
+
+
+@_query(f"WITH {I.sql_hits()}, g AS (SELECT DISTINCT q_feature FROM hit) SELECT q_feature, CAST(r AS INTEGER) AS rank, feature_id FROM (SELECT q_feature, unnest(range(1, 26)) AS r FROM g) LEFT JOIN (SELECT q_feature, rank AS r, feature_id FROM hit) USING (q_feature, r)")
+def padded_hits(spark, d):
+    """25 rows for each query feature, those beyond its hits empty."""
+    return results.padded(I.hits(spark, d).select("q_feature", "rank", "feature_id"), "q_feature", 25).select("q_feature", "rank", "feature_id")
+
+
+@_query("SELECT image_id, shard_no, CAST(row_number() OVER (PARTITION BY shard_no ORDER BY image_id) - 1 + CASE WHEN shard_no = 1 THEN (SELECT count(*) FROM images WHERE image_id % 2 = 0) ELSE 0 END AS BIGINT) AS number FROM (SELECT image_id, CAST(image_id % 2 AS INTEGER) AS shard_no FROM images)")
+def offset_shards(spark, d):
+    """Two shards, each numbered from 0, opened as one."""
+    i = table(spark, d, "images").select("image_id")
+    return ranges.offset_union([ranges.numbered(i.filter(F.col("image_id") % 2 == s), "image_id", name="number") for s in (0, 1)], "number")
+
+
+_FIRST = "first AS (SELECT journal_id, arg_min(struct_pack(s := source, t := target), (recorded_at, source, target)) AS k FROM gt_journal WHERE source IS NOT NULL AND target IS NOT NULL AND recorded_at IS NOT NULL AND coalesce(lower(trim(op)), '') <> 'donor' GROUP BY 1)"
+
+
+@_query(_TREE + f", {_FIRST} SELECT first.journal_id, walk.root AS original, first.k.t AS modified FROM first JOIN walk ON walk.journal_id = first.journal_id AND walk.node = first.k.s")
+def original_pairs(spark, d):
+    """Of each journal the root above its first link and that link's target."""
+    links = table(spark, d, "gt_journal").filter(F.coalesce(F.lower(F.trim("op")), F.lit("")) != "donor").dropna(subset=["journal_id", "source", "target", "recorded_at"])
+    first = links.groupBy(F.col("journal_id").alias("tree")).agg(F.min(F.struct("recorded_at", "source", "target")).alias("k")).select("tree", F.col("k.source").cast("bigint").alias("node"), F.col("k.target").alias("modified"))
+    placed = _placed(spark, d).filter("not is_cycle").select("tree", "node", F.col("root").cast("int").alias("original"))
+    return placed.join(first, ["tree", "node"]).select(F.col("tree").alias("journal_id"), "original", "modified")
+
+
+@_query(f"WITH {I.SQL_FEATURES} SELECT feature_id, image_id FROM feat WHERE image_id IN (SELECT image_id FROM images WHERE substr(md5(CAST(image_id AS VARCHAR)), 1, 1) < '8')")
+def class_features(spark, d):
+    """The features of the images that a random half of the classes holds."""
+    chosen = table(spark, d, "images").filter(F.substring(F.md5(F.col("image_id").cast("string")), 1, 1) < "8").select("image_id").distinct()
+    return I.features(spark, d).select("feature_id", "image_id").join(chosen, "image_id", "left_semi")

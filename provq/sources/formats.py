@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provq.functions import names
+from provq.operators import ranges
 from provq.operators.results import DOCUMENT
 
 
@@ -142,8 +143,52 @@ def skip_first(rows: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows with the number of their batch of ``size`` consecutive rows; for lists of files, which are small."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Rows with the number of their batch of ``size`` consecutive rows."""
+    return ranges.numbered(rows, order, name="_n").withColumn("batch", ranges.batch_of(F.col("_n"), size)).drop("_n")
+
+
+def feature_list(spark: SparkSession, roots: list[str], extension: str | None = "npy") -> DataFrame:
+    """(path): feature files by extension, or all files that aren't hidden; folders of thumbnails are left out."""
+    named = files(spark, roots).filter(~names.basename(F.col("path")).startswith(".") & ~F.col("path").rlike("thumb/[^/]*$"))
+    return (named if extension is None else named.filter(names.extension(F.col("path")) == extension)).select("path")
+
+
+def listed(spark: SparkSession, path: str, have: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The paths of a list, one a line, that have(path) holds, and those it doesn't; blank lines and repeats don't count."""
+    rows = spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> ''").distinct()
+    return rows.join(have.select("path").distinct(), "path", "left_semi"), rows.join(have.select("path").distinct(), "path", "left_anti")
+
+
+def job_slice(rows: DataFrame, order: str, job: int, jobs: int) -> DataFrame:
+    """The job's contiguous share of the rows; all shares together are all rows."""
+    return ranges.numbered(rows, order, name="_n").filter(ranges.range_of(F.col("_n"), rows.count(), jobs) == job).drop("_n")
+
+
+def _by_place(spark: SparkSession, path: str, **columns: int) -> DataFrame:
+    t = spark.read.option("sep", "|").csv(path)
+    return t.select(*(t[i].alias(c) for c, i in columns.items()))
+
+
+def world_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, file) of the third column of a world index with a header."""
+    t = spark.read.option("sep", "|").option("header", "true").csv(path)
+    return t.select(names.basename(t[2]).alias("file")).dropna().select(names.first_stem(F.col("file")).alias("stem"), "file")
+
+
+def node_references(spark: SparkSession, path: str) -> DataFrame:
+    """(id, file): the fourth column of each line and the name in its third."""
+    return _by_place(spark, path, id=3, file=2).filter("id is not null").withColumn("file", names.basename(F.col("file")))
+
+
+def journal_references(spark: SparkSession, path: str) -> DataFrame:
+    """(probe_id, journal): the second column of each line and the name in its seventh; the first line is a header."""
+    t = spark.read.option("sep", "|").option("header", "true").csv(path)
+    return t.select(t[1].alias("probe_id"), names.basename(t[6]).alias("journal")).dropna()
+
+
+def numbered_features(rows: DataFrame) -> DataFrame:
+    """feature_files' rows with image_no, a dense number of their files in the order of paths."""
+    return rows.join(ranges.numbered(rows.select("path").distinct(), "path", name="image_no"), "path")
 
 
 def result_documents(spark: SparkSession, roots: list[str]) -> DataFrame:

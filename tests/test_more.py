@@ -122,3 +122,57 @@ def test_result_tree_and_progress(spark, tmp_path):
     assert {(r["probe"], r["value"]) for r in spark.read.text(str(tmp_path / "r")).collect()} == {("p1", "{}"), ("p2", "[]")}
     ids = lambda *v: spark.createDataFrame([(x,) for x in v], "k string")
     assert {(r["state"], r["n"]) for r in sinks.progress(ids("a", "b"), ids("b", "c"), ids("a", "b", "c", "d"), "k").collect()} == {("completed", 2), ("unable", 1), ("remaining", 1)}
+
+
+def test_provenance_graph_follows_the_rules(spark):
+    """A chain 3-1-0-2 grown at both ends, and a branch from 1 to 4; node 5 has too few matches."""
+    rows = [(0, 1, 30, 0.4, 0.1), (0, 2, 20, 0.1, 0.3), (1, 3, 28, 0.5, 0.2), (1, 4, 9, 0.2, 0.6), (2, 5, 3, 0.9, 0.9)]
+    p = spark.createDataFrame([(7, i, j, kp, 0.05, f, b) for i, j, kp, f, b in rows], "probe_id bigint, i bigint, j bigint, kp_count bigint, avg_dist double, mi_ij double, mi_ji double")
+    got = {(r["source"], r["target"]) for r in graph.provenance_graph(p).collect()}
+    # outward votes: 0->1 (1.5), 1->3 (1); of the next, 0-2 points inward, but the majority holds for the whole chain, if the third image is alike
+    assert (0, 1) in got and (1, 3) in got and (4, 1) in got
+    assert {frozenset(e) for e in got} == {frozenset(e) for e in ((0, 1), (1, 3), (0, 2), (1, 4))}
+
+
+def test_related_pairs(spark):
+    rows = [(1, 1, float(i), 0.0) for i in range(10)] + [(1, 2, float(50 * i), 0.0) for i in range(5)] + [(1, 3, float(i), 1.0) for i in range(4)] + [(1, 4, 0.0, 0.0)] * 3
+    df = spark.createDataFrame([(*r, 640, 480) for r in rows], "probe_id bigint, image_id bigint, qx double, qy double, width int, height int")
+    assert {(r["image_id"], r["n"]) for r in matching.related_pairs(df).collect()} == {(1, 10), (3, 4)}
+
+
+def test_region_and_condition(spark):
+    r = spark.createDataFrame([(200, 200, 100, 100), (110, 200, 100, 100), (120, 120, 100, 100)], "w int, h int, iw int, ih int")
+    assert [x[0] for x in r.select(matching.region_differs(*(F.col(c) for c in ("w", "h", "iw", "ih")))).collect()] == [True, False, False]
+    f = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.05), (1, 3, 0.7)], "probe_id bigint, image_id bigint, rcond double")
+    assert {(x["image_id"], x["rank"]) for x in matching.well_conditioned(f).collect()} == {(3, 1), (1, 2)}
+
+
+def test_listings_references_and_slices(spark, tmp_path):
+    for name in ("a/x.npy", "a/.h.npy", "b/y.npy", "b/thumb/z.npy", "b/n.txt"):
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(b"1")
+    got = lambda ext: sorted(r["path"].rpartition("/")[2] for r in sources.feature_list(spark, [str(tmp_path / "f")], ext).collect())
+    assert got("npy") == ["x.npy", "y.npy"] and got(None) == ["n.txt", "x.npy", "y.npy"]
+    (tmp_path / "l.txt").write_text("p1\n\n p2 \np9\n")
+    have, lost = sources.listed(spark, str(tmp_path / "l.txt"), spark.createDataFrame([("p1",), ("p2",)], "path string"))
+    assert {r["path"] for r in have.collect()} == {"p1", "p2"} and {r["path"] for r in lost.collect()} == {"p9"}
+    parts = [[r["path"] for r in sources.job_slice(have.unionByName(lost), "path", j, 2).collect()] for j in (0, 1)]
+    assert sorted(parts[0] + parts[1]) == ["p1", "p2", "p9"] and len(parts[0]) == 2
+    assert {(r["path"], r["batch"]) for r in sources.batches(have.unionByName(lost), "path", 2).collect()} == {("p1", 0), ("p2", 0), ("p9", 1)}
+    (tmp_path / "w.csv").write_text("a|b|WorldFileName\n1|2|d/f.x.jpg\n")
+    assert [tuple(r) for r in sources.world_files(spark, str(tmp_path / "w.csv")).collect()] == [("f", "f.x.jpg")]
+    (tmp_path / "n.csv").write_text("1|2|d/f.jpg|N1\n")
+    assert [tuple(r) for r in sources.node_references(spark, str(tmp_path / "n.csv")).collect()] == [("N1", "f.jpg")]
+    (tmp_path / "j.csv").write_text("h|p|c|d|e|f|j\n1|P1|c|d|e|f|x/J1.json\n")
+    assert [tuple(r) for r in sources.journal_references(spark, str(tmp_path / "j.csv")).collect()] == [("P1", "J1.json")]
+
+
+def test_rewritten_documents_and_centralities(spark):
+    top = spark.createDataFrame([("p", 1, "world/a.jpg", "a", 0.5), ("p", 2, "world/b.jpg", "b", 0.25)], "probe string, rank int, file string, fileid string, score double")
+    docs = results.documents(top, "probe", "file", "fileid")
+    back = results.nodes_of(results.rewritten(docs, "probe", spark.createDataFrame([("b", "world/B.png")], "fileid string, name string")), "probe").collect()
+    assert [(r["id"], r["file"], r["nodeConfidenceScore"]) for r in back] == [("1", "world/a.jpg", 0.5), ("2", "world/B.png", 0.25)]
+    c = results.centralities(spark.createDataFrame([(2, 5, 0.5), (1, 9, 1.5)], "round int, node bigint, degree double")).first()["document"]
+    assert [r["node"] for r in json.loads(c)] == [9, 5]
+    q = sinks.query_map(spark.createDataFrame([(7, 0, 2), (7, 0, 1)], "image_id bigint, q_image bigint, feature_id bigint")).first()["document"]
+    assert json.loads(q) == {"image_id": 7, "q_image": 0, "features": [1, 2]}
