@@ -104,17 +104,26 @@ def mutual_information(rows: DataFrame, group: str, a: str, b: str, bins: int) -
 def distribution_match(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(value, matched): each value of column a and the smallest value of b whose share of values up to it is at least a's.
 
-    Shares are taken over distinct values with counts, so the windows run over as many rows as there are distinct values.
+    Shares are taken over distinct values with counts. Both columns are range-partitioned; totals and the next value pass from one range to another.
     """
-
-    def shares(c: str, v: str, s: str) -> DataFrame:
-        counts = rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(v)).agg(F.count("*").alias("n"))
-        return counts.select(v, F.round(F.sum("n").over(Window.orderBy(v)) / F.sum("n").over(Window.partitionBy()), 9).alias(s))
-
-    x, y = shares(a, "value", "s"), shares(b, "matched", "u")
-    both = x.select("s", "value", F.lit(None).cast("double").alias("matched")).unionByName(y.select(F.col("u").alias("s"), F.lit(None).cast("double").alias("value"), "matched"))
-    nxt = F.min("matched").over(Window.orderBy("s").rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumn("m", nxt).filter("value is not null").select("value", F.col("m").alias("matched"))
+    from provq.operators import ranges
+    from provq.runtime import Workspace
+
+    ws = Workspace(rows.sparkSession, "distribution")
+
+    def shares(c: str, v: str) -> DataFrame:
+        counts = ws.save(rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(v)).agg(F.count("*").alias("n")), "counts")
+        total = counts.agg(F.sum("n").alias("t"))
+        return ranges.running_total(counts, "n", v).crossJoin(F.broadcast(total)).select(v, F.round(F.col("so_far") / F.col("t"), 9).alias("s"))  # one row
+
+    x, y = shares(a, "value"), shares(b, "matched")
+    both = x.select("s", "value", F.lit(None).cast("double").alias("matched")).unionByName(y.select("s", F.lit(None).cast("double").alias("value"), "matched"))
+    placed = ws.save(both.repartitionByRange("s").withColumn("_part", F.spark_partition_id()), "placed")
+    here = F.min("matched").over(Window.partitionBy("_part").orderBy("s").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    later = F.min("least").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing))  # one row for each range
+    after = placed.groupBy("_part").agg(F.min("matched").alias("least")).select("_part", later.alias("later"))
+    out = placed.withColumn("here", here).filter("value is not null").join(F.broadcast(after), "_part")
+    return out.select("value", F.coalesce("here", "later").alias("matched"))
 
 
 def mean_squared_error(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:

@@ -363,21 +363,19 @@ def weighted_degree(spark, d):
     return graph.weighted_degree(I.edges(spark, d)).select("node", _r("degree"), "n_edges")
 
 
-@_query(f"""WITH {I.SQL_EDGES},
-    d1 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM way GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
-    w2 AS (SELECT * FROM way WHERE a NOT IN (SELECT node FROM d1) AND b NOT IN (SELECT node FROM d1)),
-    d2 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM w2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
-    w3 AS (SELECT * FROM w2 WHERE a NOT IN (SELECT node FROM d2) AND b NOT IN (SELECT node FROM d2)),
-    d3 AS (SELECT a AS node, round(sum(weight), 9) AS degree FROM w3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-    SELECT 1 AS round, node, round(degree, 6) AS degree FROM d1 UNION ALL SELECT 2, node, round(degree, 6) FROM d2 UNION ALL SELECT 3, node, round(degree, 6) FROM d3""")
-def top_degree_removal(spark, d):
-    """The first three rounds, as its SQL unrolls them; ``top_degree_removal_all`` has the operator's 20."""
-    return graph.remove_top_degree(I.edges(spark, d), 3).select("round", "node", _r("degree"))
+def _removals(rounds: int) -> str:
+    """The rounds of degree removal, unrolled."""
+    steps, gone = [f"{I.SQL_EDGES}, w1 AS (SELECT * FROM way)"], []
+    for k in range(1, rounds + 1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT {k} AS round, a AS node, round(sum(weight), 9) AS degree FROM w{k} GROUP BY a ORDER BY 3 DESC, 2 LIMIT 1)")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * FROM w{k} WHERE a NOT IN (SELECT node FROM d{k}) AND b NOT IN (SELECT node FROM d{k}))")
+        gone.append(f"SELECT round, node, round(degree, 6) AS degree FROM d{k}")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(gone)}"
 
 
-@_query()
-def top_degree_removal_all(spark, d):
-    return graph.remove_top_degree(I.edges(spark, d)).select("round", "node", _r("degree"))
+@_query(_removals(20))
+def top_degree_removal(spark, d):
+    return graph.remove_top_degree(I.edges(spark, d), 20).select("round", "node", _r("degree"))
 
 
 @_query(f"""WITH {I.SQL_EDGES},
@@ -402,16 +400,9 @@ def pic_clusters(spark, d):
 
 
 @_query(f"""WITH RECURSIVE {I.SQL_EDGES},
-    lev AS (SELECT min(a) AS node, 0 AS level FROM way UNION SELECT way.b, lev.level + 1 FROM lev JOIN way ON way.a = lev.node WHERE lev.level < 4)
-    SELECT node, min(level) AS level FROM lev GROUP BY 1""")
+    lev(node, level) USING KEY (node) AS (SELECT min(a), 0 FROM way UNION SELECT way.b, min(lev.level) + 1 FROM lev JOIN way ON way.a = lev.node WHERE way.b NOT IN (SELECT node FROM recurring.lev) GROUP BY way.b)
+    SELECT node, level FROM lev""")
 def bfs_levels(spark, d):
-    """The first four levels, as its SQL says; ``bfs_levels_all`` has every node that is reached."""
-    e = I.edges(spark, d)
-    return graph.expand_levels(e, e.agg(F.min("a").alias("node")), 4)
-
-
-@_query()
-def bfs_levels_all(spark, d):
     e = I.edges(spark, d)
     return graph.expand_levels(e, e.agg(F.min("a").alias("node")))
 

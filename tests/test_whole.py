@@ -20,7 +20,7 @@ def test_all_levels_of_the_links(spark):
     want, front = {start: 0}, [start]
     while front:
         front = [b for b in {b for a in front for b in near[a]} if b not in want and not want.update({b: want[next(a for a in front if b in near[a])] + 1})]
-    assert {r["node"]: r["level"] for r in catalog.queries()["bfs_levels_all"](spark, DATA).collect()} == want
+    assert {r["node"]: r["level"] for r in catalog.queries()["bfs_levels"](spark, DATA).collect()} == want
 
 
 def test_markov_clusters_say_when_the_limit_is_hit(spark):
@@ -59,7 +59,7 @@ def test_top_degree_removal_has_20_rounds(spark):
         node = min(total, key=lambda v: (-round(total[v], 9), v))
         want.append((k, node, round(total[node], 5)))
         left = {e: w for e, w in left.items() if node not in e}
-    got = catalog.queries()["top_degree_removal_all"](spark, DATA).collect()
+    got = catalog.queries()["top_degree_removal"](spark, DATA).collect()
     assert sorted((r["round"], r["node"], round(r["degree"], 5)) for r in got) == want
 
 
