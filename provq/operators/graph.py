@@ -63,9 +63,10 @@ def _stochastic(m: DataFrame) -> DataFrame:
 def flow_step(m: DataFrame, inflation: float = 2.0, prune: float = 0.001) -> DataFrame:
     """Expansion (the square of the matrix), inflation, normalisation; entries below ``prune`` go, but a column keeps its highest."""
     sq = m.select(F.col("i"), F.col("j").alias("k"), F.col("m").alias("x")).join(m.select(F.col("i").alias("k"), "j", F.col("m").alias("y")), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("m"))
-    inflated = _stochastic(sq.select("i", "j", F.pow("m", F.lit(inflation)).alias("m")))
-    high = inflated.groupBy("j").agg(F.max("m").alias("high"))
-    return inflated.join(high, "j").filter((F.round("m", 9) >= prune) | (F.col("m") == F.col("high"))).select("i", "j", "m")
+    column = Window.partitionBy("j")  # as many rows as a node has others within two steps
+    inflated = sq.select("i", "j", F.pow("m", F.lit(inflation)).alias("p")).select("i", "j", (F.col("p") / F.sum("p").over(column)).alias("m"))
+    high = inflated.withColumn("high", F.max("m").over(column))
+    return high.filter((F.round("m", 9) >= prune) | (F.col("m") == F.col("high"))).select("i", "j", "m")
 
 
 def markov_clusters(edges: DataFrame, rounds: int = 100) -> DataFrame:

@@ -29,7 +29,15 @@ def queries_of(feat: DataFrame) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(probe_id, q_feature, feature_id, image_id, dist, rank): the k nearest features of each query feature, itself included."""
-    feat = features(spark, sf_dir)
+    return _hits(stored_features(spark, sf_dir), k)
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``features``, written once for the several steps that read them."""
+    return Workspace(spark, "features").save(features(spark, sf_dir), "features")
+
+
+def _hits(feat: DataFrame, k: int) -> DataFrame:
     q = queries_of(feat)
     top = search.exact_knn(q.select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), k)
     return top.withColumnRenamed("q", "q_feature").join(feat.select("feature_id", "image_id"), "feature_id").join(q.select(F.col("feature_id").alias("q_feature"), F.col("image_id").alias("probe_id")), "q_feature")
@@ -37,20 +45,18 @@ def hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """Hits with the key points of both sides and the size of the image; images without a size don't count."""
-    feat = features(spark, sf_dir)
+    feat = stored_features(spark, sf_dir)
     own = feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("size").alias("q_size"), F.col("angle").alias("q_angle"))
     sizes = table(spark, sf_dir, "images").filter("width > 0 and height > 0").select("image_id", "width", "height")
-    return hits(spark, sf_dir, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
+    return _hits(feat, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(probe_id, image_id, q_feature, feature_id, dist): all features of a probe against those of each other image that it hits."""
     ws = Workspace(spark, "pairs")
-    feat = ws.save(features(spark, sf_dir).select("feature_id", "image_id", "v"), "features")
+    feat = stored_features(spark, sf_dir)
     q = queries_of(feat)
-    top = search.exact_knn(q.select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), K)
-    hit = top.select("q", "feature_id").join(feat.select("feature_id", "image_id"), "feature_id").join(q.select(F.col("feature_id").alias("q"), F.col("image_id").alias("probe_id")), "q")
-    pairs = hit.filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
+    pairs = _hits(feat, K).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
     d = matching.pair_distances(pairs, q.select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat)
     return ws.save(d, "distances")
 
