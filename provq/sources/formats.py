@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provq.functions import names
+from provq.functions import names, pixels
 from provq.operators import ranges
 from provq.operators.results import DOCUMENT
 
@@ -34,6 +34,26 @@ def _contents(spark: SparkSession, roots: list[str], glob: str | None = None) ->
     return (r.option("pathGlobFilter", glob) if glob else r).load(roots).select("path", "content")
 
 
+def images(spark: SparkSession, roots: list[str], *, flip: bool = False) -> DataFrame:
+    """(path, width, height, channels, pixels BINARY): decoded images, brought to the working size where they are too large, upside down if ``flip``.
+
+    An image that can't be decoded has nulls, so that it can be reported; raw camera files are not decoded.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"]):
+                m = pixels.decode(content)
+                if m is not None and m.shape[0] * m.shape[1] > pixels.TOO_LARGE:
+                    m = pixels.resized(m, *pixels.working_size(m.shape[1], m.shape[0]))
+                out.append((path, None, None, None, None) if m is None else (path, m.shape[1], m.shape[0], m.shape[2], (m[::-1] if flip else m).tobytes()))
+            t = pd.DataFrame(out, columns=["path", "width", "height", "channels", "pixels"])
+            yield t.astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+
+    return _contents(spark, roots).filter(names.is_image(F.col("path"))).mapInPandas(run, "path string, width int, height int, channels int, pixels binary")
+
+
 def feature_rows(path: str, content: bytes, dim: int) -> pd.DataFrame:
     """Rows of one feature file: float32 values row by row, then rows, columns, width, height as floats. A file that isn't whole has none."""
     columns = ["path", "feature_no", "descriptor", "x", "y", "size", "angle", "width", "height"]
