@@ -132,18 +132,18 @@ def ivf_assign(spark, d):
     return got.groupBy("cell").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))
 
 
-@_query(f"WITH {_CENTRES}, near AS (SELECT q.feature_id AS q_feature, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) + 0.0 AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1 WHERE q.r <= 4 AND q.image_id % 100 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10")
+@_query(f"WITH {_CENTRES}, near AS (SELECT q.feature_id AS q_feature, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) + 0.0 AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1 WHERE q.r <= 11 AND q.image_id % 100 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_feature ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10")
 def ivf_search(spark, d):
     feat = I.features(spark, d)
-    got = search.ivf_knn(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), _centres(feat), 10, nprobe=4)
+    got = search.ivf_knn(I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v"), _centres(feat), 10, nprobe=11)
     return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
 
 
-@_query(f"WITH {_CENTRES}, probe AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1, (VALUES (1)) WHERE q.r <= 4 AND q.image_id % 100 = 0), found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM probe) WHERE rank <= 10), near AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM feat q, feat b WHERE q.image_id % 100 = 0), exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10) SELECT count(DISTINCT e.q) AS n_queries, round(count(f.q) / (10.0 * count(DISTINCT e.q)), 6) AS share FROM exact e LEFT JOIN found f ON f.q = e.q AND f.feature_id = e.feature_id")
+@_query(f"WITH {_CENTRES}, probe AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM off q JOIN off b ON b.cell = q.cell AND b.r = 1, (VALUES (1)) WHERE q.r <= 11 AND q.image_id % 100 = 0), found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM probe) WHERE rank <= 10), near AS (SELECT q.feature_id AS q, b.feature_id, greatest(0.0, round(2 - 2 * list_dot_product(q.v, b.v), 9)) AS dist FROM feat q, feat b WHERE q.image_id % 100 = 0), exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, feature_id) AS rank FROM near) WHERE rank <= 10) SELECT count(DISTINCT e.q) AS n_queries, round(count(f.q) / (10.0 * count(DISTINCT e.q)), 6) AS share FROM exact e LEFT JOIN found f ON f.q = e.q AND f.feature_id = e.feature_id")
 def intersection_at_k(spark, d):
     feat = I.features(spark, d)
     q, b = I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), feat.select("feature_id", "v")
-    got = evaluate.intersection_at(search.ivf_knn(q, b, _centres(feat), 10, nprobe=4), search.exact_knn(q, b, 10), 10)
+    got = evaluate.intersection_at(search.ivf_knn(q, b, _centres(feat), 10, nprobe=11), search.exact_knn(q, b, 10), 10)
     return got.select("n_queries", _r("share"))
 
 

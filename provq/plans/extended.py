@@ -193,7 +193,7 @@ def index_merge(spark, d):
     for rest, path in ((0, paths[0]), (1, paths[1]), (2, paths[1])):
         index.append(coded.filter(F.col("feature_id") % 3 == rest), path)
     index.merge(spark, paths, merged := ws.path("merged"))
-    got = index.search(whole, I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), spark.read.parquet(merged), 10, nprobe=4)
+    got = index.search(whole, I.queries_of(feat).select(F.col("feature_id").alias("q"), "v"), spark.read.parquet(merged), 10, nprobe=11)
     return got.select(F.col("q").alias("q_feature"), "feature_id", "dist", "rank")
 
 
