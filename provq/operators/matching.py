@@ -1,6 +1,6 @@
 """Matching of item pairs by their features, and joins by place.
 
-Nearest features are (probe_id, image_id, q_feature, feature_id, dist, nth), as ``search.nearest_per_image`` gives them.
+Nearest features are (probe_id, image_id, q_feature, feature_id, dist, nth), as ``search.pair_nearest`` gives them.
 """
 
 from __future__ import annotations
@@ -10,32 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provq.functions import vectors as V
 from provq.runtime import Workspace
 
 PAIR = ("probe_id", "image_id")
 
 
-def pair_distances(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
-    """pairs(probe_id, image_id), queries(probe_id, q_feature, v), base(image_id, feature_id, v) -> (probe_id, image_id, q_feature, feature_id, dist).
-
-    Only features of images that a probe is paired with are compared. Both joins are plain ones, so adaptive execution splits an image with very many features.
-    """
-    q = pairs.select(*PAIR).join(queries.select("probe_id", "q_feature", F.col("v").alias("qv")), "probe_id")
-    return q.join(base.select("image_id", "feature_id", "v"), "image_id").select(*PAIR, "q_feature", "feature_id", (V.unit_distance(F.col("qv"), F.col("v")) + 0.0).alias("dist"))
-
-
-def nearest_in_pair(distances: DataFrame, n: int) -> DataFrame:
-    """Adds nth: the n nearest features of each query feature and image, equal distances by feature_id."""
-    nth = F.row_number().over(Window.partitionBy(*PAIR, "q_feature").orderBy("dist", "feature_id"))
-    return distances.withColumn("nth", nth).filter(F.col("nth") <= n)
-
-
-def mutual_in_pair(distances: DataFrame) -> DataFrame:
-    """(probe_id, image_id, q_feature, feature_id, dist): features that are each other's nearest in the pair of images; combined map-side."""
-    forth = distances.groupBy(*PAIR, "q_feature").agg(F.min(F.struct("dist", "feature_id")).alias("s")).select(*PAIR, "q_feature", "s.feature_id", "s.dist")
-    back = distances.groupBy(*PAIR, "feature_id").agg(F.min(F.struct("dist", "q_feature")).alias("s")).select(*PAIR, "feature_id", "s.q_feature")
-    return forth.join(back, [*PAIR, "q_feature", "feature_id"], "left_semi")
+def mutual_in_pair(nearest: DataFrame) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist): of ``search.pair_nearest``'s rows the features that are each other's nearest."""
+    return nearest.filter("nth = 1 and mutual").select(*PAIR, "q_feature", "feature_id", "dist")
 
 
 def one_to_one(matches: DataFrame) -> DataFrame:

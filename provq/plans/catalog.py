@@ -298,17 +298,17 @@ def manifest_processed(spark, d):
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS second FROM d WINDOW w AS (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id)) SELECT probe_id, image_id, q_feature, feature_id, dist, round(sqrt(dist / second), 9) AS ratio FROM o WHERE r = 1 AND second > 0 AND round(sqrt(dist / second), 9) < 0.8")
 def ratio_test_match(spark, d):
-    return matching.ratio_test(matching.nearest_in_pair(I.pair_distances(spark, d), 2))
+    return matching.ratio_test(I.pair_nearest(spark, d, 2))
 
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d), m AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id) AS r, count(*) OVER (PARTITION BY probe_id, image_id) AS n FROM o WHERE a = 1 AND b = 1) SELECT probe_id, image_id, q_feature, feature_id, dist FROM m WHERE r <= ceil(n / 2.0)")
 def mutual_nn(spark, d):
-    return matching.best_half(matching.mutual_in_pair(I.pair_distances(spark, d)))
+    return matching.best_half(matching.mutual_in_pair(I.pair_nearest(spark, d, 1)))
 
 
 @_query(f"WITH {I.SQL_PAIRS}, m AS (SELECT probe_id, image_id, q_feature, min(dist) AS dist, arg_min(feature_id, (dist, feature_id)) AS feature_id FROM d GROUP BY 1, 2, 3), o AS (SELECT *, round(sum(dist) OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id ROWS UNBOUNDED PRECEDING), 7) AS run, round(sum(dist) OVER (PARTITION BY probe_id, image_id) * 0.65, 7) AS total FROM m) SELECT probe_id, image_id, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM o WHERE run <= total GROUP BY 1, 2")
 def cumulative_share_mean(spark, d):
-    return matching.cumulative_share_mean(matching.nearest_in_pair(I.pair_distances(spark, d), 1).drop("nth")).select("probe_id", "image_id", "n", _r("mean_dist"))
+    return matching.cumulative_share_mean(I.pair_nearest(spark, d, 1).drop("nth", "mutual")).select("probe_id", "image_id", "n", _r("mean_dist"))
 
 
 @_query(f"WITH {I.SQL_FEATURES} SELECT a.image_id, a.feature_id AS a, b.feature_id AS b, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 4) AS d2 FROM feat a JOIN feat b ON a.image_id = b.image_id AND a.feature_id < b.feature_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provq.functions import vectors as V
-from provq.operators import graph, matching, search
+from provq.operators import graph, search
 from provq.runtime import Workspace, is_finite, table
 
 #: Hits of a query feature.
@@ -51,14 +51,11 @@ def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return _hits(feat, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
-def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(probe_id, image_id, q_feature, feature_id, dist): all features of a probe against those of each other image that it hits."""
-    ws = Workspace(spark, "pairs")
+def pair_nearest(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist, mutual, nth): each probe feature's n nearest in each other image that the probe hits."""
     feat = stored_features(spark, sf_dir)
-    q = queries_of(feat)
     pairs = _hits(feat, K).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
-    d = matching.pair_distances(pairs, q.select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat)
-    return ws.save(d, "distances")
+    return search.pair_nearest(pairs, queries_of(feat).select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat, n)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
