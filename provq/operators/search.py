@@ -234,51 +234,65 @@ def nearest_per_image(queries: DataFrame, base: DataFrame, n: int) -> DataFrame:
 PAIR_BLOCK = 2_000
 
 
-def _pair_top(n: int):
+def _pair_top(n: int, only_mutual: bool):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         names = ("probe_id", "image_id", "q_feature", "feature_id", "dist", "mutual")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
         if not asked.num_rows or not held.num_rows:
             return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
-        probe, image, q = (asked.column(c).to_numpy() for c in ("probe_id", "image_id", "q_feature"))
-        o = np.lexsort((q, probe, image))
-        probe, image, q, x = probe[o], image[o], q[o], _matrix(asked)[o]
-        at, ids = held.column("image_id").to_numpy(), held.column("feature_id").to_numpy()
+        listed = asked.column("image_id").is_valid().to_numpy()
+        pairs, rows = asked.filter(pa.array(listed)), asked.filter(pa.array(~listed)).select(["probe_id", "q_feature", "v"])
+        probe, q = rows.column("probe_id").to_numpy(), rows.column("q_feature").to_numpy()
+        o = np.lexsort((q, probe))
+        probe, q, x = probe[o], q[o], _matrix(rows)[o]
+        at, ids, whole = (held.column(c).to_numpy(zero_copy_only=False) for c in ("image_id", "feature_id", "whole"))
         o = np.lexsort((ids, at))
-        at, ids, b = at[o], ids[o], _matrix(held)[o]
-        heads = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (probe[1:] != probe[:-1])])
+        at, ids, whole, b = at[o], ids[o], whole[o], _matrix(held)[o]
+        p, m = pairs.column("probe_id").to_numpy(), pairs.column("image_id").to_numpy()
+        of = [np.searchsorted(probe, p, side) for side in ("left", "right")]
+        on = [np.searchsorted(at, m, side) for side in ("left", "right")]
         out = []
-        for i, j in zip(heads, np.r_[heads[1:], len(q)]):
-            s, e = np.searchsorted(at, image[i], "left"), np.searchsorted(at, image[i], "right")
-            if s == e:
+        for k, (i, j, s, e) in enumerate(zip(*of, *on)):
+            if i == j or s == e:
                 continue
             d = np.maximum(np.round(2 - 2 * (x[i:j] @ b[s:e].T), 9), 0) + 0.0
-            best = np.argsort(d, axis=1, kind="stable")[:, :n] if n > 1 else d.argmin(1)[:, None]
-            k, rows = best.shape[1], np.arange(j - i)
-            mutual = np.zeros(best.shape, bool)
-            mutual[:, 0] = d.argmin(0)[best[:, 0]] == rows
-            out.append((np.repeat(probe[i:j], k), np.repeat(image[i:j], k), np.repeat(q[i:j], k), ids[s:e][best].ravel(), np.take_along_axis(d, best, 1).ravel(), mutual.ravel()))
-        return pa.table({c: pa.array(np.concatenate([v[m] for v in out]) if out else [], kind) for m, (c, kind) in enumerate(zip(names, kinds))})
+            nearest = d.argmin(0)  # of each feature the nearest query
+            if only_mutual and whole[s]:
+                back = d.argmin(1)
+                row = np.flatnonzero(nearest[back] == np.arange(j - i))
+                best, mutual = back[row][:, None], np.ones((len(row), 1), bool)
+            else:
+                row = np.arange(j - i)
+                best = np.argsort(d, axis=1, kind="stable")[:, :n] if n > 1 else d.argmin(1)[:, None]
+                mutual = np.zeros(best.shape, bool)
+                mutual[:, 0] = nearest[best[:, 0]] == row
+            w = best.shape[1]
+            out.append((np.full(best.size, p[k]), np.full(best.size, m[k]), np.repeat(q[i:j][row], w), ids[s:e][best].ravel(), d[row[:, None], best].ravel(), mutual.ravel()))
+        return pa.table({c: pa.array(np.concatenate([v[i] for v in out]) if out else [], kind) for i, (c, kind) in enumerate(zip(names, kinds))})
 
     return run
 
 
-def pair_nearest(pairs: DataFrame, queries: DataFrame, base: DataFrame, n: int) -> DataFrame:
+def pair_nearest(pairs: DataFrame, queries: DataFrame, base: DataFrame, n: int, *, only_mutual: bool = False) -> DataFrame:
     """pairs(probe_id, image_id), queries(probe_id, q_feature, v), base(image_id, feature_id, v) -> (probe_id, image_id, q_feature, feature_id, dist, mutual, nth).
 
     The n features of the image nearest to each of the probe's, in paired images only; mutual: the probe has no feature nearer to it. An image with many features
-    is cut into parts, to each of which its probes' features go; a part knows the nearest query of each of its features. Equal distances go by the smaller feature.
+    is cut into parts; a part knows the nearest query of each of its features. A probe's features go once to each task that holds one of its images, not to each image.
+    Equal distances go by the smaller feature. only_mutual: rows that aren't mutual may be left out.
     """
     large = base.groupBy("image_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("parts")).filter("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     tasks = max(1, -(-base.count() // (4 * PAIR_BLOCK)))
     tasks = max(tasks, base.sparkSession.sparkContext.defaultParallelism)
     task = lambda part: F.pmod(F.xxhash64("image_id", part), F.lit(tasks)).cast("int").alias("task")
-    b = base.join(large, "image_id", "left").select("image_id", "feature_id", "v", F.pmod(F.xxhash64("feature_id"), parts).cast("int").alias("part")).withColumn("task", task(F.col("part")))
-    q = pairs.join(large, "image_id", "left").select("probe_id", "image_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("task", task(F.col("part")))
-    q = q.join(queries.select("probe_id", "q_feature", "v"), "probe_id")
+    part = F.pmod(F.xxhash64("feature_id"), parts).cast("int")
+    b = base.join(large, "image_id", "left").select("image_id", "feature_id", "v", F.col("parts").isNull().alias("whole"), task(part))
+    of = pairs.join(large, "image_id", "left").select("probe_id", "image_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select("probe_id", "image_id", task(F.col("part"))).distinct()
+    void = lambda kind: F.lit(None).cast(kind)
+    own = of.select("probe_id", "task").distinct().join(queries.select("probe_id", "q_feature", "v"), "probe_id")
+    q = of.select("task", "probe_id", "image_id", void("bigint").alias("q_feature"), void("array<double>").alias("v")).unionByName(own.select("task", "probe_id", void("bigint").alias("image_id"), "q_feature", "v"))
     q, b = (df.toDF(*df.columns) for df in (q, b))  # both may stem from one table
-    top = q.groupBy("task", "part").cogroup(b.groupBy("task", "part")).applyInArrow(_pair_top(n), "probe_id bigint, image_id bigint, q_feature bigint, feature_id bigint, dist double, mutual boolean")
+    top = q.groupBy("task").cogroup(b.groupBy("task")).applyInArrow(_pair_top(n, only_mutual), "probe_id bigint, image_id bigint, q_feature bigint, feature_id bigint, dist double, mutual boolean")
     nth = F.row_number().over(Window.partitionBy("probe_id", "image_id", "q_feature").orderBy("dist", "feature_id"))
     return top.withColumn("nth", nth).filter(F.col("nth") <= n)
 

@@ -303,7 +303,7 @@ def ratio_test_match(spark, d):
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d), m AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id) AS r, count(*) OVER (PARTITION BY probe_id, image_id) AS n FROM o WHERE a = 1 AND b = 1) SELECT probe_id, image_id, q_feature, feature_id, dist FROM m WHERE r <= ceil(n / 2.0)")
 def mutual_nn(spark, d):
-    return matching.best_half(matching.mutual_in_pair(I.pair_nearest(spark, d, 1)))
+    return matching.best_half(matching.mutual_in_pair(I.pair_nearest(spark, d, 1, True)))
 
 
 @_query(f"WITH {I.SQL_PAIRS}, m AS (SELECT probe_id, image_id, q_feature, min(dist) AS dist, arg_min(feature_id, (dist, feature_id)) AS feature_id FROM d GROUP BY 1, 2, 3), o AS (SELECT *, round(sum(dist) OVER (PARTITION BY probe_id, image_id ORDER BY dist, q_feature, feature_id ROWS UNBOUNDED PRECEDING), 7) AS run, round(sum(dist) OVER (PARTITION BY probe_id, image_id) * 0.65, 7) AS total FROM m) SELECT probe_id, image_id, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM o WHERE run <= total GROUP BY 1, 2")

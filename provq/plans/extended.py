@@ -371,7 +371,7 @@ def ratio_test_one_to_one(spark, d):
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d) SELECT probe_id, image_id, count(*) AS kp_count, round(avg(dist), 6) AS avg_dist FROM o WHERE a = 1 AND b = 1 GROUP BY 1, 2")
 def pair_stats(spark, d):
-    return matching.pair_stats(matching.mutual_in_pair(I.pair_nearest(spark, d, 1))).select("probe_id", "image_id", "kp_count", _r("avg_dist"))
+    return matching.pair_stats(matching.mutual_in_pair(I.pair_nearest(spark, d, 1, True))).select("probe_id", "image_id", "kp_count", _r("avg_dist"))
 
 
 @_query("SELECT l_returnflag, round(avg((l_discount - l_tax) * (l_discount - l_tax)), 9) AS mse FROM lineitem GROUP BY 1")
@@ -416,7 +416,7 @@ def spaced_keypoints(spark, d):
 @_query()
 def affine_fits(spark, d):
     """The affine map of each pair's mutual matches, with the reciprocal condition of its equations."""
-    m = matching.mutual_in_pair(I.pair_nearest(spark, d, 1))
+    m = matching.mutual_in_pair(I.pair_nearest(spark, d, 1, True))
     feat = I.features(spark, d)
     m = m.join(feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy")), "q_feature").join(feat.select("feature_id", "x", "y"), "feature_id")
     return matching.affine_fit(m)
@@ -461,7 +461,7 @@ def related_images(spark, d):
     """Images related by their matches; with key points as sparse as these two matches within a fifth of the image are asked for."""
     feat = I.features(spark, d)
     sizes = table(spark, d, "images").filter("width > 0 and height > 0").select(F.col("image_id").alias("probe_id"), "width", "height")
-    m = matching.mutual_in_pair(I.pair_nearest(spark, d, 1)).join(feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy")), "q_feature").join(sizes, "probe_id")
+    m = matching.mutual_in_pair(I.pair_nearest(spark, d, 1, True)).join(feat.select(F.col("feature_id").alias("q_feature"), F.col("x").alias("qx"), F.col("y").alias("qy")), "q_feature").join(sizes, "probe_id")
     return matching.related_pairs(m, at_least=2, share=0.2)
 
 

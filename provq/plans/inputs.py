@@ -51,11 +51,11 @@ def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return _hits(feat, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
-def pair_nearest(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def pair_nearest(spark: SparkSession, sf_dir: str, n: int, only_mutual: bool = False) -> DataFrame:
     """(probe_id, image_id, q_feature, feature_id, dist, mutual, nth): each probe feature's n nearest in each other image that the probe hits."""
     feat = stored_features(spark, sf_dir)
     pairs = _hits(feat, K).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
-    return search.pair_nearest(pairs, queries_of(feat).select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat, n)
+    return search.pair_nearest(pairs, queries_of(feat).select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat, n, only_mutual=only_mutual)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
