@@ -21,7 +21,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """An array of doubles scaled to length 1."""
-    return F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
+    # the length stands in an array of one, or it would be computed anew for each element
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def l1_root(v: Column) -> Column:

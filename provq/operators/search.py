@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provq.runtime import Workspace, read_shared, shared_path
+
 
 #: Query rows and base rows of one task of the exact join.
 QUERY_BLOCK, BASE_BLOCK = 2_048, 20_000
@@ -40,21 +42,129 @@ def _block_top(k: int):
     return run
 
 
+#: Queries that a task holds at once; beyond, the base is read once more for each further so many. Rows of one matrix product.
+QUERIES_HELD, ROWS = 262_144, 512
+
+
+def _slack(dim: int) -> float:
+    """More than a product of two unit vectors is off in single precision."""
+    return (dim + 8) * 1.2e-7
+
+
+def _exact(q: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The distances of pairs of rows, to nine places."""
+    dot = np.empty(len(row))
+    for s in range(0, len(row), 65_536):
+        dot[s : s + 65_536] = np.einsum("ij,ij->i", q[row[s : s + 65_536]], b[col[s : s + 65_536]])
+    return np.maximum(np.round(2 - 2 * dot, 9), 0) + 0.0
+
+
+def _kth_bound(g: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least k of its entries reach, close to the k-th highest: that of the maxima of groups of columns."""
+    groups = 16 * k
+    deep = g.shape[1] // groups
+    if deep < 2:
+        return np.full(len(g), -np.inf, np.float32) if g.shape[1] < k else np.partition(g, g.shape[1] - k, axis=1)[:, g.shape[1] - k]
+    return np.partition(g[:, : deep * groups].reshape(len(g), deep, groups).max(1), groups - k, axis=1)[:, groups - k]
+
+
+def _cell_order(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    d = np.round((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None, :], 9)
+    return np.argsort(d, axis=1, kind="stable")
+
+
+def _nearest_of(path: str, first: int, k: int, centroids: np.ndarray | None, nprobes: list[int]):
+    """Of base rows (feature_id, v) those nearest to each query of the file at the path, from row ``first`` on: (q, feature_id, dist, level).
+
+    A row's level is the first of ``nprobes`` with which its cell is probed, and it is kept where it is among the k nearest of its level and those below. Products are taken in
+    single precision; what may be among the nearest by that is compared in double precision, so answers are exact.
+    """
+
+    def run(batches):
+        asked = read_shared(path).sort_by("q").slice(first, QUERIES_HELD)
+        of, q = asked.column("q").to_numpy(), _matrix(asked)
+        q32 = q.astype(np.float32)
+        slack, n_levels = np.float32(_slack(q.shape[1])), len(nprobes)
+        limit = np.full((len(q), n_levels), -np.inf, np.float32)
+        if centroids is None:
+            level = np.zeros((len(q), 1), np.int8)
+        else:
+            level = np.empty((len(q), len(centroids)), np.int8)
+            for s in range(0, len(q), 8_192):
+                o = _cell_order(q[s : s + 8_192], centroids)
+                np.put_along_axis(level[s : s + 8_192], o, np.searchsorted(nprobes, np.arange(1, o.shape[1] + 1)).astype(np.int8)[None], 1)
+        kept: list = [None] * -(-len(q) // ROWS)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            ids, x = t.column("feature_id").to_numpy(), _matrix(t)
+            cuts = [(0, 0, len(x))]
+            if centroids is not None:
+                cell = _cell_order(x, centroids)[:, 0]
+                o = np.argsort(cell, kind="stable")
+                ids, x, cell = ids[o], x[o], cell[o]
+                heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                cuts = [(int(cell[i]), int(i), int(j)) for i, j in zip(heads, np.r_[heads[1:], len(x)])]
+            x32 = x.astype(np.float32)
+            for n, s in enumerate(range(0, len(q), ROWS)):
+                rows, found = np.arange(s, min(s + ROWS, len(q))), []
+                for c, i, j in cuts:
+                    g = q32[s : s + ROWS] @ x32[i:j].T
+                    least = limit[rows, level[rows, c]]
+                    if np.isinf(least).any():
+                        least = np.maximum(least, _kth_bound(g, k))
+                    at = np.flatnonzero(g >= (least - 2 * slack)[:, None])
+                    if len(at):
+                        found.append((s + at // (j - i), i + at % (j - i), np.full(len(at), c)))
+                if not found:
+                    continue
+                row, col, c = (np.concatenate(v) for v in zip(*found))
+                new = (row, level[row, c], _exact(q, x, row, col), ids[col])
+                row, lev, d, i = new if kept[n] is None else (np.concatenate(v) for v in zip(kept[n], new))
+                o = np.lexsort((i, d, row))
+                row, lev, d, i = row[o], lev[o], d[o], i[o]
+                heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                sizes, keep = np.diff(np.r_[heads, len(row)]), np.zeros(len(row), bool)
+                for v in range(n_levels):
+                    inside = lev <= v
+                    nth = np.cumsum(inside)
+                    nth -= np.repeat(nth[heads] - inside[heads], sizes)
+                    keep |= (lev == v) & (nth <= k)
+                    last = inside & (nth == k)
+                    limit[row[last], v] = 1 - d[last] / 2
+                kept[n] = (row[keep], lev[keep], d[keep], i[keep])
+        for x in kept:
+            if x is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(of[x[0]]), pa.array(x[3]), pa.array(x[2]), pa.array(x[1].astype(np.int32))], ["q", "feature_id", "dist", "level"])
+
+    return run
+
+
+def _scanned(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray | None, nprobes: list[int]) -> DataFrame:
+    spark = base.sparkSession
+    asked = Workspace(spark, "queries").save(queries.select("q", "v"), "queries")
+    path, n, out = shared_path(asked), asked.count(), None
+    base = base.select("feature_id", "v").coalesce(spark.sparkContext.defaultParallelism)
+    for first in range(0, max(n, 1), QUERIES_HELD):
+        top = (base if n else base.limit(0)).mapInArrow(_nearest_of(path, first, k, centroids, nprobes) if n else iter, "q bigint, feature_id bigint, dist double, level int")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def exact_knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """queries(q, v), base(feature_id, v), unit vectors of doubles -> (q, feature_id, dist, rank).
 
-    Queries and base are cut into blocks; each pair of blocks is one task, a matrix product of bounded size, of which the k best a query
-    leave it. Distances have nine places; equal ones go by feature_id. A query finds itself, if it is in the base.
+    Queries are stored once where all tasks read them; the base stays where it is, in as many tasks as there are cores, and the k best a query
+    leave a task. Distances have nine places; equal ones go by feature_id. A query finds itself, if it is in the base.
     """
-    n_q, n_b = queries.count(), base.count()
-    qb, bb = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_b // BASE_BLOCK))
-    if n_q and bb == 1:  # a small base still is spread over the cores
-        bb = max(1, min(8, n_b // 2_000))
-    q = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bb - 1))).alias("bb"))
-    b = base.select("feature_id", "v", F.pmod(F.xxhash64("feature_id"), F.lit(bb)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    q, b = (df.toDF(*df.columns) for df in (q, b))  # both may stem from one table
-    top = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_block_top(k), "q bigint, feature_id bigint, dist double")
-    return ranked(top, k)
+    return ranked(_scanned(queries, base, k, None, [1]).drop("level"), k)
+
+
+def probed_levels(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k: int, nprobes: tuple[int, ...]) -> tuple[DataFrame, list[int]]:
+    """(q, feature_id, dist, level) and the levels, numbers of probed cells up to all of them: one pass has the k nearest for each level, those of levels not above it."""
+    levels = sorted({min(n, len(centroids)) for n in nprobes} | {len(centroids)})
+    return _scanned(queries, base, k, np.array(centroids), levels), levels
 
 
 def ranked(hits: DataFrame, k: int | None) -> DataFrame:

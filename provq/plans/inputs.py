@@ -15,11 +15,20 @@ K = 20
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feature_id, image_id, v, x, y, size, angle): usable features with a whole key point, each id once, vectors of length 1."""
+    return _shaped(_usable(spark, sf_dir))
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_id, image_id, f, p): the usable rows with their numbers as delivered, half as wide as doubles."""
     q = table(spark, sf_dir, "query_index")
     point = F.col("keypointMetadata").cast("array<double>")
     ok = F.col("feature_id").isNotNull() & F.col("image_id").isNotNull() & V.is_vector(F.col("features"), 64) & F.coalesce((F.size(point) == 4) & V.all_finite(point) & (F.element_at(point, 3) > 0), F.lit(False))
-    best = q.filter(ok).groupBy("feature_id").agg(F.min(F.struct("ingested_at", "image_id", F.col("features").cast("array<double>").alias("f"), point.alias("p"))).alias("r"))
-    return best.select("feature_id", "r.image_id", V.unit(F.col("r.f")).alias("v"), *(F.col("r.p")[i].alias(c) for i, c in enumerate(("x", "y", "size", "angle"))))
+    best = q.filter(ok).groupBy("feature_id").agg(F.min(F.struct("ingested_at", "image_id", F.col("features").alias("f"), F.col("keypointMetadata").alias("p"))).alias("r"))
+    return best.select("feature_id", "r.image_id", "r.f", "r.p")
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    return rows.select("feature_id", "image_id", V.unit(F.col("f").cast("array<double>")).alias("v"), *(F.col("p")[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "size", "angle"))))
 
 
 def queries_of(feat: DataFrame) -> DataFrame:
@@ -34,7 +43,7 @@ def hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``features``, written once for the several steps that read them."""
-    return Workspace(spark, "features").save(features(spark, sf_dir), "features")
+    return _shaped(Workspace(spark, "features").save(_usable(spark, sf_dir), "features"))
 
 
 def _hits(feat: DataFrame, k: int) -> DataFrame:
@@ -51,11 +60,16 @@ def placed_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return _hits(feat, k).join(own, "q_feature").join(feat.select("feature_id", "x", "y", "size", "angle"), "feature_id").join(sizes, "image_id")
 
 
-def pair_nearest(spark: SparkSession, sf_dir: str, n: int, only_mutual: bool = False) -> DataFrame:
-    """(probe_id, image_id, q_feature, feature_id, dist, mutual, nth): each probe feature's n nearest in each other image that the probe hits."""
+def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (probe_id, image_id) of each probe with the other images that it hits, the probes' features (probe_id, q_feature, v), all features."""
     feat = stored_features(spark, sf_dir)
     pairs = _hits(feat, K).filter("probe_id <> image_id").select("probe_id", "image_id").distinct()
-    return search.pair_nearest(pairs, queries_of(feat).select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat, n, only_mutual=only_mutual)
+    return pairs, queries_of(feat).select(F.col("image_id").alias("probe_id"), F.col("feature_id").alias("q_feature"), "v"), feat
+
+
+def pair_nearest(spark: SparkSession, sf_dir: str, n: int, only_mutual: bool = False) -> DataFrame:
+    """(probe_id, image_id, q_feature, feature_id, dist, mutual, nth): each probe feature's n nearest in each other image that the probe hits."""
+    return search.pair_nearest(*paired(spark, sf_dir), n, only_mutual=only_mutual)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

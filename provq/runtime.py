@@ -88,6 +88,22 @@ def stored_bytes(df: DataFrame) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def shared_path(df: DataFrame) -> str:
+    """Where ``read_shared`` finds a table that ``Workspace.save`` returned."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._provq_path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def read_shared(path: str):
+    """A stored table as Arrow, read by a task itself, without Spark."""
+    import pyarrow.dataset
+    import pyarrow.fs
+
+    fs, at = (pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.dataset.dataset(at, filesystem=fs, format="parquet").to_table()
+
+
 def is_number(c: Column) -> Column:
     """True where a double is neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c)
