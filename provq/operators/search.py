@@ -1,4 +1,4 @@
-"""Top-k similarity joins: exact, by cells of an inverted file, fused over shards, and by hashing."""
+"""Top-k similarity joins: exact, by cells of an inverted file, fused over shards, and within a distance."""
 
 from __future__ import annotations
 
@@ -273,16 +273,44 @@ def product_codes(rows: DataFrame, codebooks: list[list[list[float]]]) -> DataFr
     return rows.mapInArrow(run, f"{fields}, pq array<smallint>")
 
 
-def hashed_pairs(queries: DataFrame, base: DataFrame, distance: float, *, seed: int = 15) -> DataFrame:
-    """(q, feature_id, dist): pairs within a Euclidean distance found by random-projection hashing; may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Leading elements that alone rule most pairs out.
+LEADING = 24
+
 
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=distance * 2, numHashTables=6, seed=seed)
-    a = queries.select("q", array_to_vector("v").alias("features"))
-    b = base.select("feature_id", array_to_vector("v").alias("features"))
-    pairs = lsh.fit(b).approxSimilarityJoin(a, b, distance, "d")
-    return pairs.select(F.col("datasetA.q").alias("q"), F.col("datasetB.feature_id").alias("feature_id"), F.round("d", 9).alias("dist"))
+def _close_to(path: str, distance: float):
+    def run(batches):
+        asked = read_shared(path)
+        of, q = asked.column("q").to_numpy(), _matrix(asked)
+        m = min(LEADING, q.shape[1])
+        # |a - b|^2 of the leading elements, never more than that of all, as one product
+        half = lambda x: (x[:, :m] ** 2).sum(1)[:, None] / 2
+        q32 = np.hstack([q[:, :m], -half(q), np.full((len(q), 1), -1.0)]).astype(np.float32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            ids, x = t.column("feature_id").to_numpy(), _matrix(t)
+            x32 = np.ascontiguousarray(np.hstack([x[:, :m], np.ones((len(x), 1)), half(x)]).astype(np.float32).T)
+            for s in range(0, len(q), ROWS):
+                at = np.flatnonzero(q32[s : s + ROWS] @ x32 > -(distance**2) / 2 - 4 * _slack(m + 2))
+                for e in range(0, len(at), 65_536):
+                    row, col = s + at[e : e + 65_536] // len(x), at[e : e + 65_536] % len(x)
+                    d = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
+                    near = d < distance
+                    yield pa.RecordBatch.from_arrays([pa.array(of[row[near]]), pa.array(ids[col[near]]), pa.array(np.round(d[near], 9))], ["q", "feature_id", "dist"])
+
+    return run
+
+
+def close_pairs(queries: DataFrame, base: DataFrame, distance: float) -> DataFrame:
+    """queries(q, v), base(feature_id, v), unit vectors -> (q, feature_id, dist): all pairs within a Euclidean distance.
+
+    Buckets of random projections as wide as the distance hold nearly every vector, so pairs aren't hashed: the base streams past the stored queries, pairs whose leading
+    elements are too far apart go by one product in single precision, the others are compared in full.
+    """
+    spark = base.sparkSession
+    asked = Workspace(spark, "queries").save(queries.select("q", "v"), "queries")
+    return base.select("feature_id", "v").mapInArrow(_close_to(shared_path(asked), distance) if asked.limit(1).count() else lambda _: iter(()), "q bigint, feature_id bigint, dist double")
 
 
 def keep_index(rows: DataFrame, path: str) -> None:
@@ -407,4 +435,4 @@ def pair_nearest(pairs: DataFrame, queries: DataFrame, base: DataFrame, n: int,
     return top.withColumn("nth", nth).filter(F.col("nth") <= n)
 
 
-__all__ = ["assign_cells", "choose_nprobe", "exact_knn", "flip_augmented", "fuse", "hashed_pairs", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "pair_nearest", "product_codes", "ranked", "train_cells", "train_projection"]
+__all__ = ["assign_cells", "choose_nprobe", "close_pairs", "exact_knn", "flip_augmented", "fuse", "ivf_knn", "keep_index", "merge_indexes", "nearest_per_image", "pair_nearest", "probed_levels", "product_codes", "ranked", "train_cells", "train_projection"]

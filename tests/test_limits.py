@@ -33,3 +33,15 @@ def test_share_means_leave_no_nearest_rows_of_whole_images(spark, paired, monkey
     monkeypatch.setattr(search, "pair_nearest", lambda p, q, b, n: asked.append(b) or near(p, q, b, n))
     assert rows_of(pairs.share_means(*paired)) == want and len(want) > 100
     assert {r["image_id"] for b in asked for r in b.select("image_id").distinct().collect()} == {0, 99}
+
+
+def test_close_pairs_are_all_pairs(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, 64))
+    x = np.repeat(x, 10, axis=0) + 0.35 * r.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "feature_id bigint, v array<double>")
+    got = {(r["q"], r["feature_id"]): r["dist"] for r in search.close_pairs(rows.filter("feature_id < 100").withColumnRenamed("feature_id", "q"), rows, 0.5).collect()}
+    d = np.sqrt(((x[:100, None] - x[None]) ** 2).sum(2))
+    assert set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(d < 0.5)))) and len(got) > 120
+    assert all(abs(d[p] - v) < 1e-8 for p, v in got.items())
