@@ -11,6 +11,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,15 +137,58 @@ def expand_levels(links: DataFrame, starts: DataFrame, most: int | None = None)
     return seen
 
 
+#: Links of the trees that one task takes; a tree of more is advanced by rounds.
+TREE_LINKS = 500_000
+
+
+def _levels_of(links: pa.Table, starts: pa.Table) -> pa.Table:
+    """The levels of whole trees, frontier by frontier."""
+    k, s = links.to_pandas(), starts.to_pandas()
+    ends = pd.concat([f.rename(columns={c: "node"})[["kind", "tree", "node"]] for f, c in ((s, "node"), (k, "a"), (k, "b"))], ignore_index=True)
+    code = ends.groupby(["kind", "tree", "node"], sort=False).ngroup().to_numpy()
+    at, (a, b) = code[: len(s)], np.split(code[len(s) :], 2)
+    n = int(code.max()) + 1 if len(code) else 0
+    o = np.argsort(a, kind="stable")
+    a, b = a[o], b[o]
+    begin = np.searchsorted(a, np.arange(n + 1))
+    level, front, step = np.full(n, -1), np.unique(at), 0
+    while len(front):
+        level[front] = step
+        many = begin[front + 1] - begin[front]
+        out = b[np.repeat(begin[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        front, step = np.unique(out[level[out] < 0]), step + 1
+    first = ends[~pd.Series(code).duplicated()]
+    first = first.assign(level=level[code[first.index]])
+    return pa.Table.from_pandas(first[first["level"] >= 0], preserve_index=False)
+
+
 def directed_levels(links: DataFrame, starts: DataFrame) -> DataFrame:
     """links(kind, tree, a, b), starts(kind, tree, node) -> (kind, tree, node, level): each node's first level from any start of its kind and tree along the links.
 
-    All kinds advance in the same rounds, until none finds a new node; links of a kind name its direction.
+    Trees of at most ``TREE_LINKS`` links are gone through within tasks that hold about as many. Of larger ones all kinds advance in the same rounds, until none finds a new
+    node. Links of a kind name its direction.
     """
     ws = Workspace(links.sparkSession, "levels")
     at = ["kind", "tree", "node"]
-    links = ws.save(links.distinct(), "links")
-    front = ws.save(starts.select(*at).distinct().withColumn("level", F.lit(0)), "front")
+    links = ws.save(links.select("kind", "tree", "a", "b").distinct(), "links")
+    starts = ws.save(starts.select(*at).distinct(), "starts")
+    large = ws.save(links.groupBy("kind", "tree").count().filter(F.col("count") > TREE_LINKS).select("kind", "tree"), "large")
+    rounds = large.limit(1).count() > 0
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // TREE_LINKS))
+    task = F.pmod(F.xxhash64("kind", "tree"), F.lit(tasks)).alias("task")
+    small = [df.join(F.broadcast(large), ["kind", "tree"], "left_anti") if rounds else df for df in (links, starts)]  # at most one in TREE_LINKS links has a large tree
+    k, s = (df.withColumn("task", task) for df in small)
+    kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
+    got = k.groupBy("task").cogroup(s.groupBy("task")).applyInArrow(lambda x, y: _levels_of(x, y).select([*at, "level"]).cast(pa.schema([*(y.schema.field(c) for c in at), pa.field("level", pa.int32())])), ", ".join(f"`{c}` {kinds[c]}" for c in at) + ", level int")
+    if not rounds:
+        return got
+    return got.unionByName(_levels_by_rounds(ws, links.join(F.broadcast(large), ["kind", "tree"], "left_semi"), starts.join(F.broadcast(large), ["kind", "tree"], "left_semi")))
+
+
+def _levels_by_rounds(ws: Workspace, links: DataFrame, starts: DataFrame) -> DataFrame:
+    at = ["kind", "tree", "node"]
+    links = ws.save(links, "links")
+    front = ws.save(starts.withColumn("level", F.lit(0)), "front")
     seen = front
     for k in itertools.count(1):
         step = links.join(front.select("kind", "tree", F.col("node").alias("a")), ["kind", "tree", "a"]).select("kind", "tree", F.col("b").alias("node")).distinct()

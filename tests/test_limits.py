@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from provq.operators import matching, pairs, search
+from provq.operators import graph, matching, pairs, search
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,18 @@ def test_close_pairs_are_all_pairs(spark):
     d = np.sqrt(((x[:100, None] - x[None]) ** 2).sum(2))
     assert set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(d < 0.5)))) and len(got) > 120
     assert all(abs(d[p] - v) < 1e-8 for p, v in got.items())
+
+
+def test_levels_of_small_trees_take_no_rounds(spark, monkeypatch):
+    chain = [("down", 1, i, i + 1) for i in range(300)] + [("up", 2, i, (i * 7 + 1) % 50) for i in range(50)] + [("down", 3, 1, 2)]
+    links = spark.createDataFrame(chain, "kind string, tree bigint, a bigint, b bigint")
+    starts = spark.createDataFrame([("down", 1, 0), ("up", 2, 0), ("down", 4, 9)], "kind string, tree bigint, node bigint")
+    rounds = []
+    by_rounds = graph._levels_by_rounds
+    monkeypatch.setattr(graph, "_levels_by_rounds", lambda *a: rounds.append(1) or by_rounds(*a))
+    got = rows_of(graph.directed_levels(links, starts))
+    assert not rounds and [r for r in got if r[1] == 1] == [("down", 1, i, i) for i in range(301)] and ("down", 4, 9, 0) in got and not [r for r in got if r[1] == 3]
+    short = links.filter("tree > 1 or a < 12")
+    want = rows_of(graph.directed_levels(short, starts))
+    monkeypatch.setattr(graph, "TREE_LINKS", 20)
+    assert rows_of(graph.directed_levels(short, starts)) == want and rounds
