@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from provq.functions import names
-from provq.operators import evaluate, graph, index, matching, ranges, results, scoring, search
+from provq.operators import evaluate, graph, index, matching, pairs, ranges, results, scoring, search
 from provq.plans import inputs as I
 from provq.plans.catalog import _CENTRES, _MAX, _SQL, _TREE, _centres, _placed, _query, _r, merge_max
 from provq.runtime import Workspace, is_finite, table
@@ -365,8 +365,7 @@ def paths_to_leaves(spark, d):
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS second FROM d WINDOW w AS (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id)), m AS (SELECT probe_id, image_id, q_feature, feature_id, dist FROM o WHERE r = 1 AND second > 0 AND round(sqrt(dist / second), 9) < 0.95) SELECT probe_id, image_id, q_feature, feature_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS n FROM m) WHERE n = 1")
 def ratio_test_one_to_one(spark, d):
-    near = I.pair_nearest(spark, d, 2)
-    return matching.one_to_one(matching.ratio_test(near, 0.95).drop("ratio"))
+    return pairs.ratio_matches(*I.paired(spark, d), 0.95, single=True).drop("ratio")
 
 
 @_query(f"WITH {I.SQL_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, q_feature ORDER BY dist, feature_id) AS a, row_number() OVER (PARTITION BY probe_id, image_id, feature_id ORDER BY dist, q_feature) AS b FROM d) SELECT probe_id, image_id, count(*) AS kp_count, round(avg(dist), 6) AS avg_dist FROM o WHERE a = 1 AND b = 1 GROUP BY 1, 2")

@@ -60,3 +60,11 @@ def test_levels_of_small_trees_take_no_rounds(spark, monkeypatch):
     want = rows_of(graph.directed_levels(short, starts))
     monkeypatch.setattr(graph, "TREE_LINKS", 20)
     assert rows_of(graph.directed_levels(short, starts)) == want and rounds
+
+
+@pytest.mark.parametrize("most,single", [(0.95, True)])
+def test_ratio_matches_leave_no_nearest_rows_of_whole_images(spark, paired, monkeypatch, most, single):
+    monkeypatch.setattr(search, "PAIR_BLOCK", 40)
+    want = matching.ratio_test(search.pair_nearest(*paired, 2), most)
+    want = rows_of(matching.one_to_one(want) if single else want)
+    assert rows_of(pairs.ratio_matches(*paired, most, single=single)) == want and len(want) > 50
