@@ -52,12 +52,15 @@ def sweep(queries: DataFrame, base: DataFrame, centroids: list[list[float]], k:
     """(nprobe, n_queries, share): the intersection with the exact first k for several numbers of probed cells."""
     from provq.operators import search
 
-    exact = search.exact_knn(queries, base, k)
-    out = None
-    for n in nprobes:
-        got = intersection_at(search.ivf_knn(queries, base, centroids, k, nprobe=n), exact, k).withColumn("nprobe", F.lit(n))
-        out = got if out is None else out.unionByName(got)
-    return out
+    rows, levels = search.probed_levels(queries, base, centroids, k, nprobes)
+    near = Window.partitionBy("q").orderBy("dist", "feature_id")
+    found = [F.coalesce((F.col("level") <= v) & (F.sum((F.col("level") <= v).cast("int")).over(near) <= k), F.lit(False)) for v in range(len(levels))]
+    rows = rows.select("q", *(f.alias(f"in_{n}") for n, f in zip(levels, found)))
+    exact = F.col(f"in_{levels[-1]}")  # all cells are probed
+    shared = rows.groupBy("q").agg(*(F.sum((F.col(f"in_{n}") & exact).cast("bigint")).alias(f"n_{n}") for n in levels))
+    total = shared.agg(F.count("*").alias("n_queries"), *(F.sum(f"n_{n}").alias(f"n_{n}") for n in levels))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("nprobe"), F.col(f"n_{min(n, len(centroids))}").alias("n")) for n in nprobes)))
+    return total.select("n_queries", each.alias("s")).filter("n_queries > 0").select("s.nprobe", "n_queries", (F.col("s.n") / (F.lit(float(k)) * F.col("n_queries"))).alias("share"))
 
 
 def otsu_threshold(rows: DataFrame, group: str, level: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from provq.operators import graph, matching, pairs, search
+from provq.operators import evaluate, graph, matching, pairs, search
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,13 @@ def test_ratio_matches_leave_no_nearest_rows_of_whole_images(spark, paired, monk
     want = matching.ratio_test(search.pair_nearest(*paired, 2), most)
     want = rows_of(matching.one_to_one(want) if single else want)
     assert rows_of(pairs.ratio_matches(*paired, most, single=single)) == want and len(want) > 50
+
+
+def test_sweep_takes_one_pass(spark, paired, monkeypatch):
+    q, b = paired[1].selectExpr("q_feature as q", "v").filter("q < 60"), paired[2].select("feature_id", "v")
+    cells = [r["v"] for r in b.orderBy("feature_id").limit(9).collect()]
+    exact = search.exact_knn(q, b, 5)
+    want = sorted((n, *evaluate.intersection_at(search.ivf_knn(q, b, cells, 5, nprobe=n), exact, 5).select("n_queries", "share").first()) for n in (1, 3, 9))
+    for f in ("exact_knn", "ivf_knn"):
+        monkeypatch.delattr(search, f)
+    assert sorted(map(tuple, evaluate.sweep(q, b, cells, 5, (1, 3, 9)).collect())) == want and want[0][2] < 1 == want[2][2]
