@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provq.operators.search import QUERY_BLOCK, _matrix, ranked
+from provq.operators.search import _kth_bound, _matrix, _slack, ranked
 
-#: Vectors that training looks at, at most; codes of one task of a search.
-SAMPLE_ROWS, CODE_BLOCK = 100_000, 200_000
+#: Vectors that training looks at, at most; codes and queries of one task of a search; queries of one product.
+SAMPLE_ROWS, CODE_BLOCK, QUERY_BLOCK, ROWS = 100_000, 200_000, 16_384, 64
 
 
 @dataclass(frozen=True)
@@ -185,20 +185,36 @@ def search(index: Index, queries: DataFrame, coded: DataFrame, k: int, nprobe: i
         ids, of, x = held.column("feature_id").to_numpy(), asked.column("q").to_numpy(), _matrix(asked)
         raw = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         out = []
-        for s in range(0, len(x), 64):
-            if index.books is None:
-                b = raw.view("<f8")
-                d = (x[s : s + 64] ** 2).sum(1)[:, None] - 2 * x[s : s + 64] @ b.T + (b * b).sum(1)[None]
-            else:
-                d = index.distances(x[s : s + 64] - index.centroids[asked.column("cell")[0].as_py()], raw)
+        cell = index.centroids[asked.column("cell")[0].as_py()]
+        if index.books is None:
+            b = raw.view("<f8")
+        else:  # a code stands for the vector of its words
+            x, b = x - cell, np.concatenate([index.books[p][raw[:, p]] for p in range(len(index.books))], axis=1)
+        middle = b.mean(0)
+        half, b32 = ((b - middle) ** 2).sum(1) / 2, (b - middle).astype(np.float32)
+        x32, half32 = (x - middle).astype(np.float32), half.astype(np.float32)
+        most = np.sqrt(2 * half.max())
+        for s in range(0, len(x), ROWS):
+            # the higher the nearer, by single precision; what may be among the nearest by that gets its exact distance
+            g = x32[s : s + ROWS] @ b32.T
+            g -= half32
+            slack = _slack(x.shape[1]) * (np.sqrt((x32[s : s + ROWS] ** 2).sum(1)) * most + half.max()) + 1e-8
+            at = np.flatnonzero(g >= (_kth_bound(g, k) - 2 * slack).astype(np.float32)[:, None])
+            row, col = at // len(ids), at % len(ids)
+            d = np.empty(len(row))
+            tables = None if index.books is None else index._tables(x[s : s + ROWS])
+            for e in range(0, len(row), 65_536):
+                i, j = row[e : e + 65_536], col[e : e + 65_536]
+                if tables is None:
+                    d[e : e + 65_536] = ((x[s + i] - b[j]) ** 2).sum(1)
+                else:
+                    d[e : e + 65_536] = sum(tables[i, p, raw[j, p]] for p in range(len(index.books)))
             d = np.maximum(np.round(d, 9), 0) + 0.0
-            limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            row, col = np.nonzero(d <= limit[:, None])
-            o = np.lexsort((ids[col], d[row, col], row))
-            row, col = row[o], col[o]
+            o = np.lexsort((ids[col], d, row))
+            row, col, d = row[o], col[o], d[o]
             heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             keep = np.arange(len(row)) - np.repeat(heads, np.diff(np.r_[heads, len(row)])) < k
-            out.append((of[s + row[keep]], ids[col[keep]], d[row[keep], col[keep]]))
+            out.append((of[s + row[keep]], ids[col[keep]], d[keep]))
         return pa.table({n: np.concatenate([x[i] for x in out]) for i, n in enumerate(empty)})
 
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from provq.operators import evaluate, graph, matching, pairs, search
+from provq.operators import evaluate, graph, index, matching, pairs, search
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,19 @@ def test_sweep_takes_one_pass(spark, paired, monkeypatch):
     for f in ("exact_knn", "ivf_knn"):
         monkeypatch.delattr(search, f)
     assert sorted(map(tuple, evaluate.sweep(q, b, cells, 5, (1, 3, 9)).collect())) == want and want[0][2] < 1 == want[2][2]
+
+
+def test_codes_are_not_copied_for_each_few_queries(spark):
+    r = np.random.default_rng(6)
+    x, words = r.normal(size=(3_000, 8)), r.normal(size=(2, 4, 4))
+    x[2_500:] = x[:500]
+    fixed = index.Index(None, np.zeros((1, 8)), words)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "feature_id bigint, v array<double>")
+    got = index.search(fixed, rows.filter("feature_id < 2200").withColumnRenamed("feature_id", "q"), index.encode(fixed, rows), 5)
+    found = sorted((r["q"], r["rank"], r["feature_id"]) for r in got.collect())
+    t = np.round(((x.reshape(-1, 2, 1, 4) - words[None]) ** 2).sum(3), 9)
+    code = t.argmin(2)
+    d = np.round(t[:2_200, 0][:, code[:, 0]] + t[:2_200, 1][:, code[:, 1]], 9)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert found == [(q, k + 1, int(f)) for q, fs in enumerate(near) for k, f in enumerate(fs)]
+    assert index.QUERY_BLOCK >= 16_384
