@@ -94,3 +94,9 @@ def test_codes_are_not_copied_for_each_few_queries(spark):
     near = np.argsort(d, axis=1, kind="stable")[:, :5]
     assert found == [(q, k + 1, int(f)) for q, fs in enumerate(near) for k, f in enumerate(fs)]
     assert index.QUERY_BLOCK >= 16_384
+
+
+def test_exact_search_copies_neither_side(spark, paired):
+    top = search.exact_knn(paired[1].selectExpr("q_feature as q", "v"), paired[2].select("feature_id", "v"), 3)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
