@@ -147,7 +147,7 @@ def _scanned(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray
     path, n, out = shared_path(asked), asked.count(), None
     base = base.select("feature_id", "v").coalesce(spark.sparkContext.defaultParallelism)
     for first in range(0, max(n, 1), QUERIES_HELD):
-        top = (base if n else base.limit(0)).mapInArrow(_nearest_of(path, first, k, centroids, nprobes) if n else iter, "q bigint, feature_id bigint, dist double, level int")
+        top = base.mapInArrow(_nearest_of(path, first, k, centroids, nprobes) if n else lambda _: iter(()), "q bigint, feature_id bigint, dist double, level int")
         out = top if out is None else out.unionByName(top)
     return out
 
